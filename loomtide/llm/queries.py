@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import ann, chat, langid, packing, secrets, simhash, sql
+from loomtide.llm import ann, chat, langid, packing, secrets, simhash, sql, warc
+from loomtide.llm.common import shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +17,13 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes a record for each page, then reads the archives back."""
+    path = shared_path(spark, "warc")
+    warc.write(_table(spark, sf_dir, "pages"), path)
+    return warc.digests(warc.read(spark, path))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
@@ -44,7 +52,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op5_language_id, op6_best_fit_packing, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -40,4 +40,16 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
-ORACLES = {"op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
+WARC = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), k AS (
+  SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) END AS keeper FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN keeper IS NULL OR keeper = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN keeper <> page_id THEN keeper END AS refers_to
+FROM k
+"""
+
+ORACLES = {"op4_warc": WARC, "op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
