@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import ann, chat, langid, packing, secrets, simhash, sql, warc
+from loomtide.llm import ann, chat, langid, mixing, packing, secrets, simhash, sql, warc
 from loomtide.llm.common import shared_path
 
 
@@ -13,6 +13,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sources whole, the smaller ones up to twice, as rows in blocks."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs, max_repeat=2.0).select("doc_id", "source", "block", "n_tokens", "order_key")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, radius=4)
 
@@ -52,7 +58,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -52,4 +52,37 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM k
 """
 
-ORACLES = {"op4_warc": WARC, "op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
+MIXING = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, coalesce('s' || source, 'n') AS key,
+    CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS n_tokens
+  FROM documents
+), sizes AS (SELECT key, CAST(sum(n_tokens) AS BIGINT) AS tokens FROM d GROUP BY key),
+t AS (SELECT CAST(sum(tokens) AS DOUBLE) AS total FROM sizes),
+shares AS (SELECT tokens / total AS p FROM sizes, t WHERE tokens > 0),
+ends AS (SELECT min(p) AS low, max(p) AS high FROM shares),
+search AS (
+  SELECT 0 AS i, CAST(0 AS DOUBLE) AS lo, CAST(1 AS DOUBLE) AS hi
+  UNION ALL
+  SELECT i + 1, CASE WHEN pow(low, m - 1) / pow(high, m - 1) <= 2 THEN lo ELSE m END,
+    CASE WHEN pow(low, m - 1) / pow(high, m - 1) <= 2 THEN m ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS m FROM search WHERE i < 48), ends
+), a AS (
+  SELECT CASE WHEN high / low <= 2 THEN 0 ELSE hi END AS a FROM search, ends WHERE i = 48
+), w AS (
+  SELECT sum(pow(p, a)) AS z, max(pow(p, 1 - a)) AS least FROM shares, a
+), plan AS (
+  SELECT key, tokens, CAST(round(CASE WHEN tokens > 0 THEN pow(tokens / total, a) / z ELSE 0 END * (total * z * least)) AS BIGINT) AS budget
+  FROM sizes, t, a, w
+), split AS (
+  SELECT key, CASE WHEN tokens > 0 THEN budget // tokens ELSE 1 END AS whole, CASE WHEN tokens > 0 THEN budget % tokens ELSE 0 END AS rest FROM plan
+), last AS (
+  SELECT d.*, whole, rest, sum(n_tokens) OVER (PARTITION BY key ORDER BY md5('0:' || whole || ':' || coalesce(CAST(doc_id AS VARCHAR), '')), doc_id, n_tokens ROWS UNBOUNDED PRECEDING) AS upto
+  FROM d JOIN split USING (key)
+), drawn AS (
+  SELECT doc_id, source, n_tokens, unnest(range(0, CASE WHEN rest > 0 AND upto <= rest THEN whole + 1 ELSE whole END)) AS block FROM last
+)
+SELECT doc_id, source, block, n_tokens, md5('0:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key FROM drawn
+"""
+
+ORACLES = {"op1_source_mixing": MIXING, "op4_warc": WARC, "op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
