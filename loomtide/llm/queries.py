@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import ann, chat, langid, mixing, packing, secrets, simhash, sql, warc
+from loomtide.llm import ann, chat, digest, langid, mixing, packing, secrets, simhash, sql, warc
 from loomtide.llm.common import shared_path
 
 
@@ -41,6 +41,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), path("byte_bpe_50k.json"), path("byte_bpe_50k.tiktoken"), capacity=2048, end_id=0)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.fingerprint(_table(spark, sf_dir, "documents"))
+
+
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
@@ -58,7 +62,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
