@@ -101,7 +101,7 @@ def _hash_rows(rows: np.ndarray) -> np.ndarray:
     words = np.ascontiguousarray(rows).view("<u8")
     h = np.full(len(words), rows.shape[1], np.uint64)
     for k in range(words.shape[1]):
-        h = _mix(h ^ (words[:, k] * _ODD[k]))
+        h = _mix(h ^ (words[:, k] * _ODD[k % len(_ODD)]))
     return h
 
 

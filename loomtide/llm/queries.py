@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtide.llm import ann, chat, digest, langid, mixing, packing, secrets, simhash, sql, warc
+from loomtide.llm import ann, chat, digest, langid, mixing, packing, repeats, secrets, simhash, sql, warc
 from loomtide.llm.common import shared_path
 
 
@@ -23,6 +23,10 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), k=4, radius=4)
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digests(repeats.remove(_table(spark, sf_dir, "documents"), length=100))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a record for each page, then reads the archives back."""
     path = shared_path(spark, "warc")
@@ -62,7 +66,7 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_source_mixing, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_warc, op5_language_id, op6_best_fit_packing, op7_fingerprints, op8_secret_scans, op9_chat_formatting, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -85,4 +85,38 @@ search AS (
 SELECT doc_id, source, block, n_tokens, md5('0:' || block || ':' || coalesce(CAST(doc_id AS VARCHAR), '')) AS order_key FROM drawn
 """
 
-ORACLES = {"op1_source_mixing": MIXING, "op4_warc": WARC, "op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
+REPEATS = """
+WITH b AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+), blocks AS (
+  SELECT doc_id, x, unnest(range(0, greatest(0, length(x) // 2 - 99), 500)) AS base FROM b
+), parts AS (
+  SELECT doc_id, base, substr(x, CAST(2 * base + 1 AS BIGINT), 1198) AS y FROM blocks
+), places AS (
+  SELECT doc_id, base + i AS p, md5(substr(y, CAST(2 * i + 1 AS BIGINT), 200)) AS s
+  FROM (SELECT doc_id, base, y, unnest(range(0, least(500, length(y) // 2 - 99))) AS i FROM parts)
+), again AS (
+  SELECT doc_id, p FROM (
+    SELECT doc_id, p, row_number() OVER (PARTITION BY s ORDER BY doc_id, p) AS n FROM places
+  ) WHERE n > 1
+), marked AS (
+  SELECT doc_id, p, CASE WHEN p > lag(p) OVER w + 100 THEN 1 ELSE 0 END AS fresh FROM again WINDOW w AS (PARTITION BY doc_id ORDER BY p)
+), runs AS (
+  SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM marked
+), spans AS (
+  SELECT doc_id, min(p) AS start, max(p) + 100 AS stop FROM runs GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, coalesce(lag(stop) OVER w, 0) AS a, start AS z FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY start)
+  UNION ALL SELECT doc_id, max(stop), NULL FROM spans GROUP BY doc_id
+), total AS (
+  SELECT doc_id, sum(stop - start) AS removed, count(*) AS n FROM spans GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, string_agg(CASE WHEN z IS NULL THEN substr(x, CAST(2 * a + 1 AS BIGINT)) ELSE substr(x, CAST(2 * a + 1 AS BIGINT), CAST(2 * (z - a) AS BIGINT)) END, '' ORDER BY a) AS x
+  FROM gaps JOIN b USING (doc_id) GROUP BY doc_id
+)
+SELECT b.doc_id, CAST(length(b.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.x, b.x))) AS kept_sha256
+FROM b LEFT JOIN total USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES = {"op3_suffix_array_dedup": REPEATS, "op1_source_mixing": MIXING, "op4_warc": WARC, "op9_chat_formatting": CHAT, "op10_nearest_neighbours": NEAREST}
