@@ -172,7 +172,6 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     no rows; repeated rows and a null doc_id are packed like any other. Only
     doc_id and text are read.
     """
-    spark = docs.sparkSession
     cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = _places(plan(counts, capacity), capacity)
@@ -200,6 +199,5 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
                 offset[own_rows] = at[k] + (r - first[k]) % each[k] * size
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    del spark
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
     return ranked.select(*columns, "rank").mapInArrow(place, f"{PIECES}, sequence_id long, offset long")

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtide.llm.common import connected_components, materialize
+from loomtide.llm.digest import _mix
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 SEED = 42
@@ -171,3 +172,143 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
     classes = joined.join(least, "root").select("fp", "component_id")
     return own.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+#: Similar texts differ in about 10 of 64 bits, too many for masks to cover. So
+#: deduplicate() takes three codes of 40 bits, each with its own masks, and a
+#: word of 64 bits that tells which of those that collide are worth a look.
+CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 21
+#: Buckets of more codes aren't compared pair by pair before groups are merged.
+SMALL = 16
+_SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(3)]
+
+
+def _codes(text: bytes | None, k: int) -> list[int]:
+    """Three codes and a word, over the distinct shingles of a text."""
+    h = np.unique(shingle_hashes(text, k))
+    a, b, word = (majority_bits(_mix(h ^ s)) for s in _SALT)
+    both, low = a | b << 64, (1 << CODE_BITS) - 1
+    return [both >> CODE_BITS * i & low for i in range(CODES)] + [_signed(word)]
+
+
+def _close_pairs(every: bool):
+    """Ids of a bucket's codes whose words are close.
+
+    With every, all such pairs; otherwise, in larger buckets, each with the
+    bucket's first and with the closest one before it, which is enough to
+    merge groups step by step.
+    """
+    def pairs(ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+        order = np.argsort(ids)
+        ids, words = ids[order], words[order]
+        out = []
+        for i in range(1, len(ids)):
+            gap = np.bitwise_count(words[:i] ^ words[i])
+            near = np.flatnonzero(gap <= WORD_RADIUS)
+            if len(ids) > SMALL and not every and len(near):
+                near = {int(near[0]), int(near[gap[near].argmin()])}
+            out += [(int(ids[j]), int(ids[i])) for j in near]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows (t, key, id, word) arrive in the order of (t, key)."""
+        held, kept = None, None
+        for b in batches:
+            t, key, ids, words = (b.column(i).to_numpy() for i in range(4))
+            if not len(t):
+                continue
+            out: list[tuple[int, int]] = []
+            if kept and (t[0], key[0]) == held:
+                t, key = np.append(np.full(len(kept[0]), t[0]), t), np.append(np.full(len(kept[0]), key[0]), key)
+                ids, words = np.append(kept[0], ids), np.append(kept[1], words)
+            elif kept and len(kept[0]) > 1:
+                out += pairs(*kept)
+            cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(t)]])
+            for i in np.flatnonzero(np.diff(cuts[:-1]) > 1):
+                out += pairs(ids[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]].view(np.uint64))
+            held, kept = (t[-1], key[-1]), (ids[cuts[-2] :], words[cuts[-2] :].view(np.uint64))
+            yield _signed_pairs(out)
+        yield _signed_pairs(pairs(*kept) if kept and len(kept[0]) > 1 else [])
+
+    return run
+
+
+def _signed_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    x = np.array(found, np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+
+
+def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of uids whose sets of shingles are similar enough."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of: dict[int, np.ndarray] = {}
+        for batch in batches:
+            good = []
+            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if len(of) > 2000:
+                    of.clear()
+                for uid, text in ((a, x), (b, y)):
+                    if uid not in of:
+                        of[uid] = np.unique(shingle_hashes(text, k))
+                common = len(np.intersect1d(of[a], of[b], assume_unique=True))
+                if common >= similarity * (len(of[a]) + len(of[b]) - common):
+                    good.append((a, b))
+            yield _signed_pairs(good)
+
+    return (
+        pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a")
+        .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
+        .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    )
+
+
+def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
+    """documents with one row, that of the least doc_id, of each group of
+    near-duplicates: texts linked by a Jaccard similarity of their sets of
+    k-word shingles of at least similarity.
+
+    Candidates collide in a table of covering masks over one of CODES codes;
+    their shingles are then compared exactly. Texts with all bits equal are
+    one group. Links are looked for twice: first some of each bucket, then,
+    among what stands for the groups so found, all. Texts without words are
+    one group; a null doc_id goes before others; of equal rows one stays.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["uid", "doc_id", "c0", "c1", "c2", "word"])
+
+    text = F.col("text").cast("binary")
+    uid = F.xxhash64("doc_id", "text")
+    own = materialize(
+        docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long"), "codes"
+    )
+    codes = ["c0", "c1", "c2", "word"]
+    # The least document stands for all whose bits are equal.
+    equal = materialize(own.groupBy(*codes).agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"), F.min("doc_id").alias("doc_id")), "equal")
+
+    def candidates(rows: DataFrame, every: bool) -> DataFrame:
+        tables = [F.struct(F.lit(c * 64 + t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for c in range(CODES) for t, m in enumerate(masks(CODE_RADIUS, CODE_BITS))]
+        spread = rows.select(F.explode(F.array(*tables)).alias("x"), "uid", "word").select("x.t", "x.key", "uid", "word")
+        met = spread.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close_pairs(every), "a long, b long").distinct()
+        return materialize(met, "pairs")
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+        return materialize(docs.select(uid.alias("uid"), text.alias("text")).join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "texts")
+
+    pairs = candidates(equal, False)
+    found = materialize(_similar(pairs, texts(pairs), k, similarity), "links")
+    first = materialize(connected_components(found).withColumnRenamed("node", "uid"), "groups")
+    grouped = equal.join(first, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    heads = materialize(grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid"), "heads")
+    again = candidates(equal.join(heads, "uid", "left_semi"), True)
+    more = again.join(pairs, ["a", "b"], "left_anti")
+    found = materialize(found.unionByName(_similar(more, texts(more), k, similarity)), "links")
+    last = connected_components(found).withColumnRenamed("node", "uid")
+    grouped = equal.join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    stay = materialize(grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid"), "kept")
+    kept = docs.withColumn("__uid", uid).join(stay.withColumnRenamed("uid", "__uid"), "__uid", "left_semi")
+    if own.groupBy("uid").count().where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__uid"])
+    return kept.drop("__uid")
