@@ -45,17 +45,26 @@ def entropy_levels(x: np.ndarray) -> np.ndarray:
     n = len(x)
     if n < WINDOW:
         return np.zeros(0, np.int32)
-    at = np.argsort(x, kind="stable").astype(np.int32)
-    symbol = x[at]
-    before, after = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    live = np.arange(1, n)
+    at = np.argsort(x, kind="stable")
+    # Places in the order of symbols, those of different symbols far apart.
+    kind = np.int32 if n < 1 << 22 else np.int64
+    key = at.astype(kind) + x[at].astype(kind) * kind(n + WINDOW)
+    back, ahead = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
     for k in range(1, WINDOW):
-        live = live[live >= k]
-        live = live[(symbol[live] == symbol[live - k]) & (at[live] - at[live - k] < WINDOW)]
-        if not len(live):
+        near = key[k:] - key[:-k] < WINDOW
+        back[k:] += near
+        ahead[:-k] += near
+        if np.count_nonzero(near) * 8 < n:
             break
-        before[at[live]] += 1
-        after[at[live - k]] += 1
+    live = np.flatnonzero(near) + k
+    while len(live) and k < WINDOW - 1:
+        k += 1
+        live = live[live >= k]
+        live = live[key[live] - key[live - k] < WINDOW]
+        back[live] += 1
+        ahead[live - k] += 1
+    before, after = np.empty(n, np.uint8), np.empty(n, np.uint8)
+    before[at], after[at] = back, ahead
     total = np.cumsum(_GAIN[before])[WINDOW - 1 :]
     total[1:] -= np.cumsum(_GAIN[after])[: n - WINDOW]
     return ((_TOP - total) * (LEVELS - 1) // _TOP).astype(np.int32)
