@@ -31,7 +31,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes a record for each page, then reads the archives back."""
     path = shared_path(spark, "warc")
     warc.write(_table(spark, sf_dir, "pages"), path)
-    return warc.digests(warc.read(spark, path))
+    return warc.digests(warc.read(spark, path, warc.DIGESTS))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,8 @@ string, so a segment is what follows a candidate up to the next one.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,6 @@ MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
 #: Payloads from so many bytes on are stored once.
 REVISIT_BYTES = 1000
-#: Bytes of payload that one file holds, about.
-FILE_BYTES = 64 << 20
 
 
 def _urn(page_id: Column) -> Column:
@@ -34,7 +34,7 @@ def _field(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = REVISIT_BYTES, file_bytes: int = FILE_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = REVISIT_BYTES) -> None:
     """A record for each page, in archives under path.
 
     Of pages with equal payloads of min_revisit bytes or more, the one with
@@ -61,23 +61,21 @@ def write(pages: DataFrame, path: str, min_revisit: int = REVISIT_BYTES, file_by
         F.lit("Content-Type: text/html"), F.lit("\r\n"),
         F.lit("Content-Length: "), F.octet_length(payload).cast("string"), F.lit(BREAK),
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    spread = max(1, -(-total // file_bytes), pages.sparkSession.sparkContext.defaultParallelism)
-    known.select(F.concat(head, payload).alias("value")).repartition(spread).write.option("lineSep", BREAK).text(path)
+    known.select(F.concat(head, payload).alias("value")).write.option("lineSep", BREAK).text(path)
 
 
 def _segments(spark: SparkSession, path: str) -> DataFrame:
-    """(file, x, size, raw): what follows each magic string, which is at byte x."""
-    read = (
+    """(file, part, n, raw): what follows each magic string; part and n give the order."""
+    return (
         spark.read.option("lineSep", MAGIC).option("recursiveFileLookup", "true").text(path)
         .select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("n"), F.col("value").cast("binary").alias("raw"))
     )
+
+
+def _placed(segments: DataFrame) -> DataFrame:
+    """Adds x, the byte of the magic string before a segment of that size."""
     before = Window.partitionBy("file").orderBy("part", "n").rowsBetween(Window.unboundedPreceding, -1)
-    own = F.octet_length("raw").cast("long")
-    return (
-        read.withColumn("x", F.sum(own + len(MAGIC)).over(before) - len(MAGIC))
-        .where(F.col("x").isNotNull()).select("file", "x", own.alias("size"), "raw")
-    )
+    return segments.withColumn("x", F.sum(F.col("size") + len(MAGIC)).over(before) - len(MAGIC)).where(F.col("x").isNotNull()).drop("part", "n")
 
 
 def _header(raw: Column) -> Column:
@@ -108,59 +106,80 @@ def reachable(links: DataFrame) -> DataFrame:
     return state.where("seen").select("file", "x")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Archives under path -> a row for each record, with its payload.
+def _parsed(rows: DataFrame) -> DataFrame:
+    """Adds header, begin (of the payload in raw) and length to rows with raw."""
+    return (
+        rows.withColumn("header", _header(F.col("raw")))
+        .withColumn("begin", F.octet_length("header").cast("long") + len(BREAK))
+        .withColumn("length", _get(F.col("header"), "Content-Length").try_cast("long"))
+    )
+
+
+def _payload() -> Column:
+    return F.substring("raw", (F.col("begin") + 1).cast("int"), F.col("length").cast("int"))
+
+
+def read(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Archives under path -> a row for each record.
 
     page_id, record_type, refers_to, url, digest and original_length are from
-    its header, null where it has no such line; payload is binary. What no
-    chain from the start of a file reaches is no record.
+    its header, null where it has no such line. of_payload names the columns
+    that are worked out from the binary payload where it is read, so that it
+    isn't moved; the default is the payload itself. What no chain from the
+    start of a file reaches is no record.
     """
-    segments = _segments(spark, path)
-    header = segments.withColumn("header", _header(F.col("raw")))
-    length = _get(F.col("header"), "Content-Length").cast("long")
-    begin = F.octet_length("header").cast("long") + len(BREAK)
-    found = materialize(
-        header.select("file", "x", "size", "raw", "header", begin.alias("begin"), length.alias("length"))
-        .withColumn("to", F.col("x") + len(MAGIC) + F.col("begin") + F.col("length") + len(BREAK)),
-        "segments",
-    )
-    true = reachable(found.select("file", "x", "to")).withColumn("true", F.lit(True))
-    marked = found.join(true, ["file", "x"], "left")
-    # A payload that holds the magic string goes on in the segments after its own.
-    single = F.col("size") >= F.col("begin") + F.col("length")
-    alone = marked.where(F.col("true") & single)
-    rest = marked.where(~F.coalesce(F.col("true") & single, F.lit(False)))
-    owner = Window.partitionBy("file").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    joined = (
-        rest.withColumn("own", F.max(F.when(F.col("true"), F.col("x"))).over(owner)).where("own is not null")
-        .groupBy("file", "own").agg(
-            F.array_sort(F.collect_list(F.struct("x", "raw"))).alias("parts"), F.max(F.when(F.col("true"), F.col("header"))).alias("header"),
-            F.max(F.when(F.col("true"), F.col("begin"))).alias("begin"), F.max(F.when(F.col("true"), F.col("length"))).alias("length"),
-        )
-        .select("header", "begin", "length", F.aggregate("parts", F.lit(b""), lambda a, p: F.concat(a, F.when(F.octet_length(a) > 0, F.lit(MAGIC.encode())).otherwise(F.lit(b"")), p["raw"])).alias("raw"))
+    of_payload = of_payload or {"payload": lambda c: c}
+    values = [f(_payload()).alias(name) for name, f in of_payload.items()]
+    own = F.octet_length("raw").cast("long")
+    whole = own >= F.col("begin") + F.col("length")
+    scanned = _parsed(_segments(spark, path)).select(
+        "file", "part", "n", own.alias("size"), "header", "begin", "length", F.coalesce(whole, F.lit(False)).alias("whole"),
+        F.when(whole, F.struct(*values)).alias("values"),
     )
-    every = alone.select("header", "begin", "length", "raw").unionByName(joined)
+    to = F.col("x") + len(MAGIC) + F.col("begin") + F.col("length") + len(BREAK)
+    found = materialize(_placed(scanned).withColumn("to", to), "segments")
+    true = materialize(reachable(found.select("file", "x", "to")), "records")
+    records = found.join(true, ["file", "x"])
+    every = records.where("whole").select("header", "values.*")
+    if (longer := records.where("not whole")).limit(1).count():
+        every = every.unionByName(_continued(spark, path, longer.select("file").distinct(), true).select("header", *values))
 
     def page(name: str) -> Column:
         return F.regexp_extract(F.coalesce(_get(F.col("header"), name), F.lit("")), r"^<urn:page:(-?\d+)>$", 1)
 
     return every.select(
-        page("WARC-Record-ID").try_cast("long").alias("page_id"),
-        _get(F.col("header"), "WARC-Type").alias("record_type"), page("WARC-Refers-To").try_cast("long").alias("refers_to"),
-        _get(F.col("header"), "WARC-Target-URI").alias("url"), F.substring_index(_get(F.col("header"), "WARC-Payload-Digest"), "sha1:", -1).alias("digest"),
-        _get(F.col("header"), "WARC-Original-Length").cast("long").alias("original_length"),
-        F.substring("raw", (F.col("begin") + 1).cast("int"), F.col("length").cast("int")).alias("payload"),
+        page("WARC-Record-ID").try_cast("long").alias("page_id"), _get(F.col("header"), "WARC-Type").alias("record_type"),
+        page("WARC-Refers-To").try_cast("long").alias("refers_to"), _get(F.col("header"), "WARC-Target-URI").alias("url"),
+        F.substring_index(_get(F.col("header"), "WARC-Payload-Digest"), "sha1:", -1).alias("digest"),
+        _get(F.col("header"), "WARC-Original-Length").try_cast("long").alias("original_length"), *of_payload,
     )
 
 
+def _continued(spark: SparkSession, path: str, files: DataFrame, true: DataFrame) -> DataFrame:
+    """(header, begin, length, raw) of the records whose payload holds the magic
+    string and goes on in later segments; only files with such records are read."""
+    again = _placed(_segments(spark, path).join(files, "file", "left_semi").withColumn("size", F.octet_length("raw").cast("long")))
+    owner = F.max(F.when(F.col("true"), F.col("x"))).over(Window.partitionBy("file").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    parts = (
+        again.join(true.withColumn("true", F.lit(True)), ["file", "x"], "left").withColumn("own", owner).where("own is not null")
+        .groupBy("file", "own").agg(F.array_sort(F.collect_list(F.struct("x", "raw"))).alias("parts")).where(F.size("parts") > 1)
+    )
+    first, rest = F.element_at("parts", 1)["raw"], F.slice("parts", 2, F.size("parts"))
+    return _parsed(parts.select(F.aggregate(rest, first, lambda a, p: F.concat(a, F.lit(MAGIC.encode()), p["raw"])).alias("raw")))
+
+
+#: What digests() needs of a payload.
+DIGESTS = {"payload_bytes": lambda c: F.octet_length(c).cast("long"), "payload_digest": F.sha1}
+
+
 def digests(records: DataFrame) -> DataFrame:
-    """read() -> page_id, payload_bytes, payload_digest, record_type, refers_to.
+    """read(..., DIGESTS) -> page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     A response's size and SHA-1 are those of the payload that was read; a
     revisit's are from its header.
     """
     revisit = F.col("record_type") == "revisit"
     return records.select(
-        "page_id", F.when(revisit, F.col("original_length")).otherwise(F.octet_length("payload").cast("long")).alias("payload_bytes"),
-        F.when(revisit, F.col("digest")).otherwise(F.sha1("payload")).alias("payload_digest"), "record_type", "refers_to",
+        "page_id", F.when(revisit, F.col("original_length")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to",
     )

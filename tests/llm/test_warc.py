@@ -37,9 +37,8 @@ def test_round_trip_over_any_split(spark, split):
     warc.write(pages.coalesce(1), path)
     spark.conf.set("spark.sql.files.maxPartitionBytes", split)
     try:
-        read = warc.read(spark, path)
-        assert sorted((tuple(r) for r in warc.digests(read).collect()), key=str) == expected(PAGES)
-        payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in read.where("record_type = 'response'").collect()}
+        assert sorted((tuple(r) for r in warc.digests(warc.read(spark, path, warc.DIGESTS)).collect()), key=str) == expected(PAGES)
+        payloads = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, path).where("record_type = 'response'").collect()}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert payloads[10] == INNER * 3 + MAGIC and payloads[12] == MAGIC * 40 + "é" * 700
@@ -49,4 +48,4 @@ def test_round_trip_over_any_split(spark, split):
 def test_no_pages(spark):
     path = shared_path(spark, "test-warc")
     warc.write(spark.createDataFrame([], SCHEMA), path)
-    assert warc.digests(warc.read(spark, path)).collect() == []
+    assert warc.digests(warc.read(spark, path, warc.DIGESTS)).collect() == []
