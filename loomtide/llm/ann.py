@@ -5,24 +5,23 @@ components: a packed code x, its length |o| and the correction <x, o/|o|>,
 where x stands for the unit vector of those signs. For a query q of unit
 length <x, q> / <x, o> estimates <o, q> / |o| without bias, and the error
 exceeds EPSILON * sqrt((1 - <x,o>^2) / <x,o>^2 / (dim - 1)) only very rarely.
-Each block of vectors is scanned by its codes; only those whose upper bound
-reaches the k-th best lower bound of the block are ranked by exact products.
+Each block of vectors is scanned by its codes: the best guesses get their exact
+product, and then all others whose upper bound reaches the k-th best of these.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Standard deviations that the bounds allow for.
-EPSILON = 4.0
-#: Vectors in an index block and in a query block.
-INDEX_ROWS, QUERY_ROWS = 8192, 512
+EPSILON = 3.3
+#: Vectors in an index block and in a query block, about.
+INDEX_ROWS, QUERY_ROWS = 32768, 8192
+#: Index blocks at least, unless they would have fewer vectors than LEAST_ROWS.
+LEAST_BLOCKS, LEAST_ROWS = 24, 256
 SEED = 20240521
 
 
@@ -41,40 +40,48 @@ def encode(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), size * top[:, 0], np.abs(turned).sum(1) / np.sqrt(vectors.shape[1])
 
 
-def exact(queries: np.ndarray, vectors: np.ndarray, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Inner products of the pairs, summed in the order of components."""
-    total = np.zeros(len(q))
-    for d in range(queries.shape[1]):
-        total += queries[q, d] * vectors[v, d]
+def exact(query: np.ndarray, columns: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Inner products with some vectors, summed in the order of components."""
+    total = np.zeros(len(at))
+    for d, part in enumerate(columns[:, at]):
+        total += query[d] * part
     return total
 
 
 def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: tuple, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of each query's k best of the block."""
+    """(query_id, vec_id, score) of each query's k best of the block; vid rises."""
     packed, size, fit = codes
     dim = vectors.shape[1]
     signs = np.unpackbits(packed, axis=1, count=dim).astype(np.float32) * 2 - 1
     top = np.abs(queries).max(1, keepdims=True)
+    unit = queries / top
+    unit /= np.sqrt((unit * unit).sum(1, keepdims=True))
+    turned = (unit @ rotation(dim).T / np.sqrt(dim)).astype(np.float32)
     length = np.sqrt(((queries / top) ** 2).sum(1)) * top[:, 0]
-    turned = ((queries / length[:, None]) @ rotation(dim).T).astype(np.float32)
-    scale = size / fit
-    with np.errstate(over="ignore", invalid="ignore"):
-        guess = (turned @ signs.T / np.sqrt(dim)).astype(np.float64) * scale
-        slack = epsilon * size * np.sqrt(np.maximum(0, 1 - fit * fit) / (fit * fit) / max(1, dim - 1)) + 1e-6 * size
-    own = qid[:, None] == vid[None, :]
-    low = np.where(own, -np.inf, guess - slack)
-    kth = np.partition(low, -k, axis=1)[:, -k] if len(vid) > k else np.full(len(qid), -np.inf)
-    keep = ~own & ~(guess + slack < kth[:, None])
-    q, v = np.nonzero(keep)
-    out = []
+    columns = np.ascontiguousarray(vectors.T)
+    slack = epsilon * size * np.sqrt(np.maximum(0, 1 - fit * fit) / (fit * fit) / max(1, dim - 1)) + 1e-5 * size
+    out: list[tuple] = []
     with np.errstate(over="ignore", invalid="ignore"):
-        score = exact(queries, vectors, q, v)
-    cuts = np.searchsorted(q, np.arange(len(qid) + 1))
-    for i in range(len(qid)):
-        a, b = cuts[i], cuts[i + 1]
-        out.append(a + np.lexsort((vid[v[a:b]], -score[a:b]))[:k])
-    best = np.concatenate(out) if out else np.zeros(0, np.int64)
-    return qid[q[best]], vid[v[best]], score[best]
+        for i in range(len(qid)):
+            # A guess is the product with the query of unit length.
+            guess = (signs @ turned[i]) * (size / fit)
+            own = np.searchsorted(vid, qid[i], "left"), np.searchsorted(vid, qid[i], "right")
+            guess[own[0] : own[1]] = -np.inf
+            keep = np.arange(len(vid))
+            if len(vid) > 4 * k:
+                best = np.argpartition(guess, -4 * k)[-4 * k :]
+                known = np.sort(exact(queries[i], columns, best[guess[best] > -np.inf]))
+                if len(known) >= k:
+                    keep = np.flatnonzero(~(guess + slack < known[-k] / length[i] * (1 - 1e-9)) | (guess >= guess[best].min()))
+            keep = keep[(keep < own[0]) | (keep >= own[1])]
+            score = exact(queries[i], columns, keep)
+            if len(keep) > k:
+                # Ties with the k-th best stay until the ids decide.
+                near = score >= np.partition(score, -k)[-k]
+                keep, score = keep[near], score[near]
+            order = np.lexsort((vid[keep], -score))[:k]
+            out.append((np.full(len(order), qid[i]), vid[keep[order]], score[order]))
+    return tuple(np.concatenate(x) for x in zip(*out)) if out else (qid[:0], vid[:0], np.zeros(0))
 
 
 def _usable(table: DataFrame, vector: str) -> DataFrame:
@@ -88,21 +95,6 @@ def _usable(table: DataFrame, vector: str) -> DataFrame:
     )
 
 
-def _blocks(rows: DataFrame, n: Column | int, coded: bool) -> DataFrame:
-    """Packs the rows of a dimension and block into one row of arrays."""
-
-    def pack(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("vec_id", kind="stable")
-        vectors = np.array(pdf["vec"].tolist(), np.float64)
-        codes = [a.tobytes() for a in encode(vectors)] if coded else [b"", b"", b""]
-        return pd.DataFrame([[key[0], key[1], pdf["vec_id"].to_numpy(np.int64).tobytes(), vectors.tobytes(), *codes]], columns=_PACKED)
-
-    return rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")).groupBy("dim", "block").applyInPandas(pack, "dim int, block int, ids binary, vectors binary, bits binary, size binary, fit binary")
-
-
-_PACKED = ["dim", "block", "ids", "vectors", "bits", "size", "fit"]
-
-
 def search(table: DataFrame, is_query: Column, k: int = 20, vector: str = "embedding", epsilon: float = EPSILON) -> DataFrame:
     """vectors -> query_id, rank, vec_id, score of each query's k nearest.
 
@@ -116,22 +108,34 @@ def search(table: DataFrame, is_query: Column, k: int = 20, vector: str = "embed
     """
     rows = _usable(table, vector)
     n = rows.count()
-    index_n, query_n = max(1, -(-n // INDEX_ROWS)), max(1, -(-n // (QUERY_ROWS * 8)))
-    index = _blocks(rows, index_n, True)
-    asked = _blocks(rows.where(is_query), query_n, False).select("dim", F.col("ids").alias("qids"), F.col("vectors").alias("queries"))
-    pairs = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(index_n - 1)))).join(index, ["dim", "block"])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                dim = r["dim"]
-                vid, qid = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["qids"], np.int64)
-                vectors, queries = np.frombuffer(r["vectors"]).reshape(-1, dim), np.frombuffer(r["queries"]).reshape(-1, dim)
-                codes = np.frombuffer(r["bits"], np.uint8).reshape(len(vid), -1), np.frombuffer(r["size"]), np.frombuffer(r["fit"])
-                for lo in range(0, len(qid), QUERY_ROWS):
-                    found = search_block(qid[lo : lo + QUERY_ROWS], queries[lo : lo + QUERY_ROWS], vid, vectors, codes, k, epsilon)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
+    index_n = max(1, -(-n // INDEX_ROWS), min(LEAST_BLOCKS, n // LEAST_ROWS))
+    query_n = max(1, -(-n // QUERY_ROWS))
+    # A cell is a block of queries against a block of the index. Queries are few
+    # beside the index, so a query block is dealt out over all index blocks, and
+    # an index block over as many query blocks as fill up with queries.
+    asked_n = max(1, -(-rows.where(is_query).count() // QUERY_ROWS)) if query_n > 1 else 1
+    block = F.pmod(F.xxhash64("vec_id"), F.lit(index_n)).cast("int")
+    group = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked_n)).cast("int")
+    index = rows.select("dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked_n - 1))).alias("group"), "vec_id", "vec")
+    asked = rows.where(is_query).select("dim", F.explode(F.sequence(F.lit(0), F.lit(index_n - 1))).alias("block"), group.alias("group"), "vec_id", "vec")
+    cell = ("dim", "block", "group")
+
+    def arrays(t: pa.Table, dim: int) -> tuple[np.ndarray, np.ndarray]:
+        ids = t.column("vec_id").to_numpy()
+        flat = pa.concat_arrays(t.column("vec").chunks).flatten().to_numpy() if len(ids) else np.zeros(0)
+        order = np.argsort(ids, kind="stable")
+        return ids[order], flat.reshape(-1, dim)[order]
+
+    def scan(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        dim = key[0].as_py()
+        vid, vectors = arrays(left, dim)
+        qid, queries = arrays(right, dim)
+        if len(vid) and len(qid):
+            found = search_block(qid, queries, vid, vectors, encode(vectors), k, epsilon)
+        else:
+            found = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        return pa.table([pa.array(x) for x in found], names=["query_id", "vec_id", "score"])
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    found = pairs.mapInArrow(scan, "query_id long, vec_id long, score double")
+    found = index.groupBy(*cell).cogroup(asked.groupBy(*cell)).applyInArrow(scan, "query_id long, vec_id long, score double")
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
