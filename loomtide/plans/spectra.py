@@ -14,12 +14,15 @@ from loomtide.operators.scan import scan
 from loomtide.plans.tables import AXIS, BINNED, FREQS, SPECTRA, per_bin, r6, spectra
 from loomtide.schema import BANDS, alpha_for, alpha_for_seconds
 
-W = Window.partitionBy("track").orderBy("frame")
 WEIGHTS = A.a_weights(FREQS)
 QUERIES: dict = {}
 SQL: dict = {}
 
 
+def by_frame():
+    return Window.partitionBy("track").orderBy("frame")
+
+
 def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
@@ -37,7 +40,7 @@ def spectrum_log_magnitude(spark, sf):
 
 @query(f"WITH {BINNED} SELECT track, frame, bin, round(greatest(m - coalesce(lag(m) OVER (PARTITION BY track, bin ORDER BY frame), m), 0), 6) AS flux FROM binned")
 def spectrum_flux(spark, sf):
-    return per_bin(spectra(spark, sf).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(W))), "flux")
+    return per_bin(spectra(spark, sf).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(by_frame()))), "flux")
 
 
 @query(f"""
@@ -89,7 +92,7 @@ SELECT track, frame, bin, round(g, 6) AS feature FROM d UNION ALL SELECT track,
 def rnn_features(spark, sf):
     g = F.transform("mag", lambda m: F.log1p(F.lit(770.0) * m))
     df = spectra(spark, sf).withColumn("g", g)
-    return per_bin(df.withColumn("feature", F.concat("g", A.rises(F.col("g"), F.lag("g").over(W)))), "feature")
+    return per_bin(df.withColumn("feature", F.concat("g", A.rises(F.col("g"), F.lag("g").over(by_frame())))), "feature")
 
 
 _VARIABILITY = """v AS (
@@ -163,7 +166,7 @@ SELECT track, frame, bin, round(m * s, 6) AS harmonic_mag, round(fl * s, 6) AS h
 """)
 def masked_spectra(spark, sf):
     """Harmonic and percussive parts by the stability mask."""
-    df = S.ema(spectra(spark, sf), _EMA_ALPHA, keep=["track", "frame", "mag"]).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(W)))
+    df = S.ema(spectra(spark, sf), _EMA_ALPHA, keep=["track", "frame", "mag"]).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(by_frame())))
     s = F.col("stability")
     df = df.withColumn("harmonic_mag", A.harmonic(F.col("mag"), s)).withColumn("harmonic_flux", A.harmonic(F.col("flux"), s))
     df = df.withColumn("percussive_mag", A.percussive(F.col("mag"), s)).withColumn("percussive_flux", A.percussive_flux(F.col("flux"), s))
@@ -264,7 +267,7 @@ SELECT track, frame, round(y, 6) AS percussiveness FROM e
 def flux_percussiveness(spark, sf):
     mag = F.col("mag")
     mass = A.dot(mag, A.literal(WEIGHTS))
-    df = spectra(spark, sf).withColumn("x", F.when(mass > 1e-10, A.total(A.rises(mag, F.lag("mag").over(W))) / mass))
+    df = spectra(spark, sf).withColumn("x", F.when(mass > 1e-10, A.total(A.rises(mag, F.lag("mag").over(by_frame()))) / mass))
     return scan(df, Ema(_N, 0.5), ["x"]).select("track", "frame", r6("y").alias("percussiveness"))
 
 
@@ -273,7 +276,7 @@ WITH {BINNED}, {AXIS}, {_BANDS}, fl AS (SELECT *, greatest(m - coalesce(lag(m) O
 SELECT track, frame, band, round(avg(d), 6) AS flux FROM fl JOIN axis USING (bin) JOIN bands ON f >= lo AND f < hi WHERE band <> 'subbass' GROUP BY ALL
 """)
 def band_flux(spark, sf):
-    df = spectra(spark, sf).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(W)))
+    df = spectra(spark, sf).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(by_frame())))
     each = [F.struct(F.lit(b.name).alias("band"), A.mean(A.band(F.col("flux"), FREQS, b)).alias("flux")) for b in BANDS if b.kind == "detection"]
     return df.select("track", "frame", F.explode(F.array(*each)).alias("e")).select("track", "frame", "e.band", r6("e.flux").alias("flux"))
 
@@ -284,7 +287,7 @@ SELECT track, frame, round(sum(d * w), 6) AS strength FROM fl JOIN axis USING (b
 """)
 def onset_strength(spark, sf):
     df = spectra(spark, sf)
-    return df.select("track", "frame", r6(A.dot(A.rises(F.col("mag"), F.lag("mag").over(W)), A.literal(WEIGHTS))).alias("strength"))
+    return df.select("track", "frame", r6(A.dot(A.rises(F.col("mag"), F.lag("mag").over(by_frame())), A.literal(WEIGHTS))).alias("strength"))
 
 
 @query("""

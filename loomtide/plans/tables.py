@@ -49,9 +49,9 @@ def spectra(spark: SparkSession, sf: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf: str) -> DataFrame:
     """track, n (from 0), x."""
-    w = Window.partitionBy("track").orderBy("l_orderkey", "l_linenumber")
+    w = Window.partitionBy("track").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
     return (
-        table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), "l_orderkey", "l_linenumber", ((F.col("l_quantity") - 25.0) / 25.0).alias("x"))
+        table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("track"), "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", ((F.col("l_quantity") - 25.0) / 25.0).alias("x"))
         .withColumn("n", F.row_number().over(w).cast("long") - 1).select("track", "n", "x")
     )
 
@@ -85,7 +85,7 @@ AXIS = """axis AS (
 
 SAMPLES = """samples AS (
   SELECT l_suppkey AS track, (l_quantity - 25.0) / 25.0 AS x,
-    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n
+    row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS n
   FROM lineitem
 )"""
 
