@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("spectra", "onsets", "states")
+_MODULES = ("spectra", "onsets", "states", "evals")
 
 
 def queries() -> dict:
