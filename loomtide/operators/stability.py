@@ -52,18 +52,16 @@ def median(frames: DataFrame, window: int | None = None, kernel: int = 15, mag:
 def composite(frames: DataFrame, method: str = "median", mag: str = "mag") -> DataFrame:
     """stability by the method named, slow_stability by a memory of 2 s, and
     sustained, which only the median has; the others give none."""
+    if clash := {"mean", "variance", "stability", "sustained", "fast"} & set(frames.columns):
+        raise ValueError(f"frames have columns {sorted(clash)}")
     if method == "median":
-        fast = median(frames, mag=mag)
+        fast = median(frames, mag=mag).withColumnRenamed("stability", "fast")
     else:
         fold = Shape() if method == "shape" else Variability(alpha_for(0.5 * frames_for_beats(120.0, 1.0)))
-        made = scan(frames, fold, [mag], keep=[*frames.columns])
-        fast = made.drop("mean", "variance").withColumn("sustained", F.lit(None).cast("array<double>"))
-    slow = scan(fast, Variability(alpha_for_seconds(2.0)), [mag], keep=[*fast.columns])
-    raise_if = [c for c in ("mean", "variance") if c in frames.columns]
-    if raise_if:
-        raise ValueError(f"frames have columns {raise_if}")
-    names = [*fast.columns, "mean", "variance", "slow_stability"]
-    return slow.toDF(*names).drop("mean", "variance")
+        fast = scan(frames, fold, [mag], keep=frames.columns).drop("mean", "variance").withColumnRenamed("stability", "fast")
+        fast = fast.withColumn("sustained", F.lit(None).cast("array<double>"))
+    slow = scan(fast, Variability(alpha_for_seconds(2.0)), [mag], keep=fast.columns).drop("mean", "variance")
+    return slow.withColumnRenamed("stability", "slow_stability").withColumnRenamed("fast", "stability")
 
 
 def band_stability(stability: Column, freqs, band) -> Column:

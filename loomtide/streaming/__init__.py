@@ -1,0 +1 @@
+"""The folds of loomtide.operators on Structured Streaming."""
