@@ -90,14 +90,34 @@ def resampler(up: int = 147, down: int = 320, half: int = 10, beta: float = 5.0)
     return run
 
 
+def half_band(n: int = 6, transition: float = 0.1) -> list[float]:
+    """Coefficients of n all-passes of an elliptic half-band filter, from the
+    width of its transition as a share of the rate."""
+    k = math.tan((1 - 2 * transition) * math.pi / 4) ** 2
+    root = (1 - k * k) ** 0.25
+    e = 0.5 * (1 - root) / (1 + root)
+    q = e + 2 * e**5 + 15 * e**9 + 150 * e**13
+    out = []
+    for c in range(1, n + 1):
+        angle = c * math.pi / (2 * n + 1)
+        top = q**0.25 * sum((-1) ** i * q ** (i * (i + 1)) * math.sin((2 * i + 1) * angle) for i in range(9))
+        low = 0.5 + sum((-1) ** i * q ** (i * i) * math.cos(2 * i * angle) for i in range(1, 9))
+        w = (top / low) ** 2
+        x = math.sqrt((1 - w * k) * (1 - w / k)) / (1 + w)
+        out.append((1 - x) / (1 + x))
+    return out
+
+
 class HalfBand(Fold):
     """Halves the rate with two chains of all-passes, one for each phase of the
     samples; a hop of even size gives half as many."""
 
     out = "half array<double>"
 
-    def __init__(self, even=(0.0798664268, 0.5453236511), odd=(0.2838293419, 0.8344118914)):
-        self.chains = (tuple(even), tuple(odd))
+    def __init__(self, coefficients: list[float] | None = None):
+        own = half_band() if coefficients is None else coefficients
+        # The earlier sample of a pair takes every second one, the later the rest.
+        self.chains = (tuple(own[1::2]), tuple(own[0::2]))
 
     def start(self):
         return tuple(tuple((0.0, 0.0) for _ in c) for c in self.chains)

@@ -75,5 +75,5 @@ def scan(df: DataFrame, fold: Fold, inputs: list[str], keys: list[str] = ("track
             arrays += [pa.array(c, arrow.field(len(keep) + k).type) for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
-    dealt = df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order, *(c for c in inputs if c not in order and not isinstance(df.schema[c].dataType, type(None))))
+    dealt = df.select(*columns).repartition(*keys).sortWithinPartitions(*keys, *order, *(c for c in inputs if c not in order))
     return dealt.mapInArrow(run, schema)

@@ -294,6 +294,13 @@ def tempo_percival(spark, sf):
     return tempo.percival(df, hop=0.1, min_bpm=60.0, max_bpm=300.0, seconds=3.2, interval=0.8).select("track", "frame", r6("raw_bpm").alias("raw_bpm"), r6("confidence").alias("confidence"), r6("bpm").alias("bpm"), "phase")
 
 
+@query("SELECT event_id FROM events WHERE event_id % 100 = 0 AND value / 1000 < 0.10 AND value / 50 >= 0.50 AND value > 0")
+def tracker_hints(spark, sf):
+    """Hops at which a sure tempo is passed on to an unsure filter."""
+    x = F.col("x")
+    return signal(spark, sf).where(tempo.hint_due(F.col("event_id"), x / 1000.0, x / 50.0, x)).select("event_id")
+
+
 def _with_flux(spark, sf):
     return spectra(spark, sf).withColumn("flux", A.rises(F.col("mag"), F.lag("mag").over(by_frame())))
 

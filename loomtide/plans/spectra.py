@@ -146,6 +146,13 @@ def stability_shape(spark, sf):
     return per_bin(S.shape(spectra(spark, sf)), "stability")
 
 
+@query()
+def stability_composite(spark, sf):
+    """Median stability beside a memory of two seconds, and what sustains."""
+    out = S.composite(spectra(spark, sf).drop("phase"), "median")
+    return per_bin(out, "stability", "slow_stability", "sustained")
+
+
 @query(f"""
 WITH RECURSIVE {BINNED}, {_STABLE}, {AXIS}, {_BANDS}, per AS (
   SELECT track, frame, band, avg(mean) AS m, avg(var) AS s, sqrt(avg(pow(v.m / (1 + sqrt(var) / (mean + 1e-10)), 2))) AS h

@@ -109,6 +109,21 @@ def test_resampler_keeps_a_low_tone():
     assert np.abs(y - want)[30:-30].max() < 0.02
 
 
+def test_half_band_passes_low_and_stops_high():
+    fold = frames.HalfBand()
+    power = []
+    for f in (0.05, 0.4):
+        x = np.sin(2 * np.pi * f * np.arange(4096))
+        power.append(np.mean(np.square(fold.step(fold.start(), (x.tolist(),))[1][0][200:])))
+    assert power[0] == pytest.approx(0.5, rel=0.01) and power[1] < 1e-6
+    # A stream of hops gives what one long hop gives.
+    state, parts = fold.start(), []
+    for a in range(0, 4096, 512):
+        state, (y,) = fold.step(state, (x[a : a + 512].tolist(),))
+        parts += y
+    assert np.allclose(parts, fold.step(fold.start(), (x.tolist(),))[1][0])
+
+
 def test_models_match_plain_numpy(spark, sf):
     rows = plans.rnn_input(spark, sf).where("track = 3").orderBy("frame").collect()
     layout, flat = plans.DEEP, plans.seeded(plans.DEEP, 2)
