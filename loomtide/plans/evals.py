@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomtide.functions import arrays as A
-from loomtide.operators import evals, frames, models
+from loomtide.operators import engine, evals, frames, models
 from loomtide.operators.scan import scan
 from loomtide.plans.spectra import by_frame
 from loomtide.plans.tables import PCM_HOP, SIGNAL, r6, samples, signal, spectra
@@ -84,6 +84,13 @@ def constant_q(spark, sf):
     return out.select("track", "frame", r6(A.total(F.col("magnitude"))).alias("magnitude"), r6(A.total(F.col("flux"))).alias("flux"))
 
 
+@query()
+def engine_snapshots(spark, sf):
+    """The whole engine over hops of 64 samples, with four octaves."""
+    out = scan(frames.hops(samples(spark, sf), PCM_HOP), engine.Engine(4, hop=PCM_HOP), ["pcm"])
+    return out.select("track", "frame", "mode", *[r6(c).alias(c) for c in ("centroid", "spectral_novelty", "effective_bpm", "break_intensity", "gain")], F.size("events").alias("n_events"), r6(F.col("bands")["high"]["rms"]).alias("high_rms"))
+
+
 @query()
 def particle_filter(spark, sf):
     df = signal(spark, sf).select("track", "frame", F.least(F.lit(1.0), F.col("x") / 490.0).alias("a"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomtide.functions import arrays as A
-from loomtide.operators import evals, frames, models, onsets, stability
+from loomtide.operators import engine, evals, frames, models, onsets, stability
 from loomtide.operators.folds import Agc, Break, Ema, Mode, Novelty
 from loomtide.operators.scan import scan
 from loomtide.plans import evals as plans
@@ -236,3 +236,50 @@ def test_empty_and_null_rows(spark):
     assert scan(empty, Ema(0.5), ["x"]).count() == 0 and onsets.percentile(empty).count() == 0
     odd = spark.createDataFrame([(None, 1, 2.0), (None, 2, None), (1, 1, 4.0), (1, 1, 4.0)], "track long, frame long, x double")
     assert sorted(r["y"] for r in scan(odd, Ema(0.5), ["x"]).collect()) == [1.0, 1.0, 2.0, 3.0]
+
+
+def drums(seconds=8.0, bpm=120.0):
+    x = np.zeros(int(48000 * seconds))
+    for name, beats in (("kick", 1.0), ("hihat", 0.5)):
+        hit = evals.instrument(name) * (0.8 if name == "kick" else 0.3)
+        for a in np.arange(0.5, seconds - 0.2, 60.0 / bpm * beats):
+            i = int(a * 48000)
+            x[i : i + len(hit)] += hit[: len(x) - i]
+    return x + 0.002 * np.sin(2 * np.pi * 300 * np.arange(len(x)) / 48000)
+
+
+def test_engine_hears_drums():
+    fold = engine.Engine()
+    state, out = fold.start(), []
+    x = drums()
+    for a in range(0, len(x) - 511, 512):
+        state, told = fold.step(state, (x[a : a + 512].tolist(),))
+        out.append(told)
+    names = [c.split()[0] for c in fold.out.split(", ")][:14]
+    kinds = [(i * 512 / 48000, e["kind"]) for i, o in enumerate(out) for e in o[-1]]
+    lows = [t for t, k in kinds if k == "low"]
+    assert len(lows) >= 8
+    grid = [abs((t - 0.5) / 0.5 - round((t - 0.5) / 0.5)) for t in lows]
+    assert np.median(grid) < 0.15
+    last = dict(zip(names, out[-1]))
+    assert last["effective_bpm"] == pytest.approx(120, rel=0.05) and last["gain"] > 0.1
+    quiet = fold.step(state, ([0.0] * 512,))[1]
+    assert quiet[-1] == [] and dict(zip(names, quiet))["percussiveness"] == 0.5
+    assert dict(zip(names, fold.step(fold.hint(state, 90.0), (x[:512].tolist(),))[1]))["effective_bpm"] == 90.0
+    assert fold.restart(state)["of"]["mode"][0] == "energy"
+
+
+def test_engine_in_batch_and_stream(spark, tmp_path):
+    x = drums(1.0)
+    rows = [(t, f, (x[f * 512 : f * 512 + 512] * (1 if t else 0)).tolist()) for t in (0, 1) for f in range(60)]
+    hops = feed.given(spark, rows)
+    batch = scan(hops, engine.Engine(), ["pcm"]).select("track", "frame", "mode", "centroid", F.size("events").alias("n"))
+    want = sorted(tuple(r) for r in batch.collect())
+    assert len(want) == 120 and {r[2] for r in want if r[0] == 0} == {"idle"}
+    for a in (0, 20, 40):
+        hops.where(f"frame >= {a} and frame < {a + 20}").coalesce(1).write.parquet(str(tmp_path / "in" / f"p{a}"))
+    stream = spark.readStream.schema(hops.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    out = scan_stream(stream, engine.Engine(), ["pcm"]).select("track", "frame", "mode", "centroid", F.size("events").alias("n"))
+    q = out.writeStream.format("memory").queryName("engine").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert q.awaitTermination(200)
+    assert sorted(tuple(r) for r in spark.sql("SELECT * FROM engine").collect()) == want
