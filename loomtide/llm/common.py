@@ -11,22 +11,42 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "file:///tmp/checkpoints/loomtide"
 
 
+#: Rows in a batch that goes to Python, where rows hold whole texts.
+BATCH_ROWS = 2000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session was told to pass fewer rows to Python at once.
+
+    The default of 10,000 whole documents can fill a worker and the JVM's
+    buffers; a smaller setting of the session stays as it is.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name, "0")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+    return df
+
+
 def shared_dir(spark: SparkSession) -> str:
     return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/loomtide-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/loomtide-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Writes df once into the shared folder and reads it back.
 
     This cuts the lineage in a way that outlives executors, and unlike an
-    eager checkpoint it computes the rows a single time.
+    eager checkpoint it computes the rows a single time. A slim table, of a
+    few numbers a row and little work, is written by twice as many tasks as
+    the cluster has cores, so that it has no crowd of tiny files.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
+    if slim:
+        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomtide_path = path
@@ -39,6 +59,14 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clean(spark: SparkSession) -> None:
+    """Removes all that this application has put into the shared folder.
+
+    Results read their intermediate tables, so this is for when they are done.
+    """
+    drop_path(spark, f"{shared_dir(spark)}/loomtide-{spark.sparkContext.applicationId}")
+
+
 def release(df: DataFrame) -> None:
     """Removes what materialize() wrote, once nothing reads it any more."""
     drop_path(df.sparkSession, df._loomtide_path)
@@ -69,11 +97,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     e = materialize(
         edges.where(F.col("a") != F.col("b"))
         .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(),
-        "edges",
+        "edges", slim=True,
     )
     before = state(e)
     while before[0]:
-        after = materialize(stars(e), "edges")
+        after = materialize(stars(e), "edges", slim=True)
         release(e)
         e, now = after, state(after)
         if now == before:

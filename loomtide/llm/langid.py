@@ -22,8 +22,10 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomtide.llm.common import small_batches
+
 #: The labelled sample: so many documents a language, so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 120, 300
+SAMPLE_DOCS, SAMPLE_CHARS = 80, 250
 #: Symbols in a block, and in what is parsed at once.
 BLOCK, CHUNK = 256, 1 << 20
 UNKNOWN = "und"
@@ -40,7 +42,7 @@ def sample(docs: DataFrame) -> dict[str, str]:
     The documents are those with the least hash; ranking them keeps
     SAMPLE_DOCS rows a language and task before the shuffle.
     """
-    labelled = docs.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+    labelled = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "n_chars" if "n_chars" in docs.columns else "doc_id").alias("at")
     ).where(F.col("text").rlike(r"\p{L}"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
@@ -185,7 +187,7 @@ class Parser:
             yield self.langs[k], float(1 - total[k, j] / rest.min()) if len(rest) and rest.min() > 0 else 1.0
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(texts)
 

@@ -116,8 +116,8 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
     if (target_entropy is None) == (max_repeat is None):
         raise ValueError("give one of target_entropy and max_repeat")
     slim = materialize(docs.select("doc_id", _key(F.col("source")).alias("__key"), n_tokens(F.col("text")).alias("n_tokens")), "tokens")
-    sizes = materialize(slim.groupBy(F.col("__key").alias("key")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sources")
-    plan = materialize(budgets(sizes, target_entropy, max_repeat, budget).select(F.col("key").alias("__key"), F.col("full").alias("__full"), F.col("rest").alias("__rest")), "budgets")
+    sizes = materialize(slim.groupBy(F.col("__key").alias("key")).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n")), "sources", slim=True)
+    plan = materialize(budgets(sizes, target_entropy, max_repeat, budget).select(F.col("key").alias("__key"), F.col("full").alias("__full"), F.col("rest").alias("__rest")), "budgets", slim=True)
     few = plan.count() <= BROADCAST_SOURCES
 
     def joined(rows: DataFrame, side: DataFrame) -> DataFrame:
@@ -135,7 +135,7 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
         .groupBy("__key").agg(F.min(F.struct("cell", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
         .select("__key", F.col("e.cell").alias("__cell"), F.col("e.left").alias("__left"))
     )
-    sources = materialize(plan.join(edge, "__key", "left"), "edges")
+    sources = materialize(plan.join(edge, "__key", "left"), "edges", slim=True)
 
     kept = [c for c in docs.columns if c not in ("block", "n_tokens", "order_key")]
     rows = joined(docs.select(*kept, _key(F.col("source")).alias("__key"), n_tokens(F.col("text")).alias("n_tokens")), sources).withColumn("__last", last_key)

@@ -33,7 +33,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import materialize
+from loomtide.llm.common import materialize, small_batches
 from loomtide.llm.digest import _hash_rows, _mix
 
 LENGTH, GRAM = 100, 32
@@ -455,7 +455,7 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     their own, in the order of their texts. An empty table gives no rows;
     other columns are not read.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     repeated = source.groupBy("doc").count().where("count > 1").limit(1).count()
     if repeated:
         source = source.withColumn("dup", F.row_number().over(Window.partitionBy("doc").orderBy("text")) - 1)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.llm.common import small_batches
+
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
 #: Share of false rejections of randomness that is accepted.
@@ -158,7 +160,7 @@ def threshold(docs: DataFrame, fdr: float = FDR) -> int:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
 
-    cells = docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    cells = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
     m, seen, best = sum(r["n"] for r in cells), 0, CELLS
     for r in sorted(cells, key=lambda r: -r["cell"]):
         seen += r["n"]

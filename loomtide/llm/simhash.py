@@ -15,12 +15,13 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import connected_components, materialize
+from loomtide.llm.common import connected_components, materialize, small_batches
 from loomtide.llm.digest import _mix
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -59,7 +60,7 @@ def fingerprints(docs: DataFrame, k: int = 4) -> DataFrame:
             out = np.array([majority_bits(shingle_hashes(t, k)) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(run, "doc_id long, fp long")
 
 
@@ -144,7 +145,7 @@ def links(fps: DataFrame, radius: int = 4, bucket: int = BUCKET) -> DataFrame:
         "fp",
         F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for t, m in enumerate(masks(radius))])).alias("x"),
     ).select("x.t", "x.key", "fp")
-    full = materialize(table.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    full = materialize(table.groupBy("t", "key").agg(F.min("fp").alias("a"), F.max("fp").alias("b"), F.count("*").alias("n")).where("n > 1"), "buckets", slim=True)
     two = full.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
     met = table.join(full.where("n > 2").select("t", "key", "n"), ["t", "key"])
     some = met.where(F.col("n") <= bucket).select("t", "key", "fp").repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_bucket_links(radius), "a long, b long")
@@ -166,7 +167,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
     table none; other columns are not read.
     """
     own = materialize(fingerprints(docs, k), "fingerprints")
-    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
+    first = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct", slim=True)
     roots = connected_components(links(first.select("fp"), radius, bucket))
     joined = first.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("first_id").alias("component_id"))
@@ -177,9 +178,12 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
 #: Similar texts differ in about 10 of 64 bits, too many for masks to cover. So
 #: deduplicate() takes three codes of 40 bits, each with its own masks, and a
 #: word of 64 bits that tells which of those that collide are worth a look.
-CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 21
-#: Buckets of more codes aren't compared pair by pair before groups are merged.
-SMALL = 16
+CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 18
+#: Buckets of more codes aren't compared pair by pair before groups are merged;
+#: they are gone through in parts of CHUNK codes.
+SMALL, CHUNK = 4, 1024
+#: Bits that tell which rows can't be in a set of ids; one hash, bounded memory.
+SIEVE_BITS = 1 << 23
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(3)]
 
 
@@ -194,25 +198,40 @@ def _codes(text: bytes | None, k: int) -> list[int]:
 def _close_pairs(every: bool):
     """Ids of a bucket's codes whose words are close.
 
-    With every, all such pairs; otherwise, in larger buckets, each with the
-    bucket's first and with the closest one before it, which is enough to
-    merge groups step by step.
+    With every, all such pairs. Otherwise each code of a larger bucket only
+    with the closest one: enough to merge groups step by step, and whatever
+    has a close code at all is in some pair.
     """
-    def pairs(ids: np.ndarray, words: np.ndarray) -> list[tuple[int, int]]:
+    def pairs(ids: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
         order = np.argsort(ids)
         ids, words = ids[order], words[order]
-        out = []
-        for i in range(1, len(ids)):
-            gap = np.bitwise_count(words[:i] ^ words[i])
-            near = np.flatnonzero(gap <= WORD_RADIUS)
-            if len(ids) > SMALL and not every and len(near):
-                near = {int(near[0]), int(near[gap[near].argmin()])}
-            out += [(int(ids[j]), int(ids[i])) for j in near]
-        return out
+        if every or len(ids) <= SMALL:
+            for i in range(1, len(ids)):
+                near = np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]) <= WORD_RADIUS)
+                yield from ((int(ids[j]), int(ids[i])) for j in near)
+            return
+        for lo in range(0, len(ids), CHUNK):
+            own, w = ids[lo : lo + CHUNK], words[lo : lo + CHUNK]
+            for i in range(len(own)):
+                gap = np.bitwise_count(w ^ w[i])
+                gap[i] = 255
+                j = int(gap.argmin())
+                if gap[j] <= WORD_RADIUS:
+                    yield (int(own[min(i, j)]), int(own[max(i, j)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows (t, key, id, word) arrive in the order of (t, key)."""
         held, kept = None, None
+        seen: set[tuple[int, int]] = set()
+
+        def fresh(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+            """Pairs that this task hasn't just told; what it remembers is bounded."""
+            out = [p for p in dict.fromkeys(found) if p not in seen]
+            if len(seen) > 200_000:
+                seen.clear()
+            seen.update(out)
+            return out
+
         for b in batches:
             t, key, ids, words = (b.column(i).to_numpy() for i in range(4))
             if not len(t):
@@ -222,17 +241,39 @@ def _close_pairs(every: bool):
                 t, key = np.append(np.full(len(kept[0]), t[0]), t), np.append(np.full(len(kept[0]), key[0]), key)
                 ids, words = np.append(kept[0], ids), np.append(kept[1], words)
             elif kept and len(kept[0]) > 1:
-                out += pairs(*kept)
+                out += fresh(pairs(*kept))
+            words = words.view(np.uint64)
             cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(t)]])
             for i in np.flatnonzero(np.diff(cuts[:-1]) > 1):
-                out += pairs(ids[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]].view(np.uint64))
-            held, kept = (t[-1], key[-1]), (ids[cuts[-2] :], words[cuts[-2] :].view(np.uint64))
+                out += fresh(pairs(ids[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]]))
+            held, kept = (t[-1], key[-1]), (ids[cuts[-2] :], words[cuts[-2] :].view(np.int64))
             yield _signed_pairs(out)
-        yield _signed_pairs(pairs(*kept) if kept and len(kept[0]) > 1 else [])
+        yield _signed_pairs(fresh(pairs(kept[0], kept[1].view(np.uint64))) if kept and len(kept[0]) > 1 else [])
 
     return run
 
 
+def _sieve(ids: DataFrame):
+    """A test of column uid that holds for all ids and few others.
+
+    It keeps rows out of a shuffle that a join would drop anyway. SIEVE_BITS
+    bits come to the driver, whatever the number of ids; if there are very
+    many, the test lets more through and the join after it does the rest.
+    """
+    place = f"pmod(uid, {SIEVE_BITS})"
+    words = ids.selectExpr(f"cast({place} div 64 as int) as w", f"shiftleft(1L, cast({place} % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    packed = bits.view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def may_be(uid: pd.Series) -> pd.Series:
+        at = uid.to_numpy(np.int64) % SIEVE_BITS
+        return pd.Series((packed[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return may_be
+
+
 def _signed_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     x = np.array(found, np.int64).reshape(-1, 2)
     return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
@@ -281,34 +322,43 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     text = F.col("text").cast("binary")
     uid = F.xxhash64("doc_id", "text")
     own = materialize(
-        docs.select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long"), "codes"
+        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long"), "codes"
     )
     codes = ["c0", "c1", "c2", "word"]
     # The least document stands for all whose bits are equal.
-    equal = materialize(own.groupBy(*codes).agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"), F.min("doc_id").alias("doc_id")), "equal")
+    equal = materialize(own.groupBy(*codes).agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"), F.min("doc_id").alias("doc_id")), "equal", slim=True)
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
         tables = [F.struct(F.lit(c * 64 + t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for c in range(CODES) for t, m in enumerate(masks(CODE_RADIUS, CODE_BITS))]
         spread = rows.select(F.explode(F.array(*tables)).alias("x"), "uid", "word").select("x.t", "x.key", "uid", "word")
         met = spread.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close_pairs(every), "a long, b long").distinct()
-        return materialize(met, "pairs")
+        return materialize(met, "pairs", slim=True)
 
     def texts(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        return materialize(docs.select(uid.alias("uid"), text.alias("text")).join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "texts")
+        ids = materialize(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "ids", slim=True)
+        some = docs.select(uid.alias("uid"), text.alias("text"))
+        return materialize(some.where(_sieve(ids)("uid")).join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "texts", slim=True)
 
     pairs = candidates(equal, False)
-    found = materialize(_similar(pairs, texts(pairs), k, similarity), "links")
-    first = materialize(connected_components(found).withColumnRenamed("node", "uid"), "groups")
+    found = materialize(_similar(pairs, texts(pairs), k, similarity), "links", slim=True)
+    first = materialize(connected_components(found).withColumnRenamed("node", "uid"), "groups", slim=True)
     grouped = equal.join(first, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    heads = materialize(grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid"), "heads")
+    heads = grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"))
+    # Nothing outside the pairs so far is close to anything.
+    paired = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+    heads = materialize(heads.select("uid").join(paired, "uid", "left_semi"), "heads", slim=True)
     again = candidates(equal.join(heads, "uid", "left_semi"), True)
-    more = again.join(pairs, ["a", "b"], "left_anti")
-    found = materialize(found.unionByName(_similar(more, texts(more), k, similarity)), "links")
+    more = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs", slim=True)
+    found = materialize(found.unionByName(_similar(more, texts(more), k, similarity)), "links", slim=True)
     last = connected_components(found).withColumnRenamed("node", "uid")
     grouped = equal.join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    stay = materialize(grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid"), "kept")
-    kept = docs.withColumn("__uid", uid).join(stay.withColumnRenamed("uid", "__uid"), "__uid", "left_semi")
+    stay = grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid")
+    # What goes is the smaller part; rows that surely stay aren't moved.
+    gone = materialize(own.select("uid").distinct().join(stay, "uid", "left_anti"), "gone", slim=True)
+    rows = docs.withColumn("__uid", uid)
+    may_go = _sieve(gone)(F.col("__uid"))
+    doubtful = rows.where(may_go).join(gone.withColumnRenamed("uid", "__uid"), "__uid", "left_anti").select(*rows.columns)
+    kept = rows.where(~may_go).unionByName(doubtful)
     if own.groupBy("uid").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["__uid"])
     return kept.drop("__uid")

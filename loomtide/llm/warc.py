@@ -91,7 +91,7 @@ def _get(header: Column, name: str) -> Column:
 def reachable(links: DataFrame) -> DataFrame:
     """(file, x, to) candidates -> (file, x) of those on the chain from byte 0."""
     most = links.groupBy("file").count().agg(F.max("count")).first()[0] or 0
-    state = materialize(links.select("file", "x", "to", (F.col("x") == 0).alias("seen")), "chain")
+    state = materialize(links.select("file", "x", "to", (F.col("x") == 0).alias("seen")), "chain", slim=True)
     stride = 1
     while stride < most:
         far = state.select("file", F.col("x").alias("to"), F.col("to").alias("next"))
@@ -99,7 +99,7 @@ def reachable(links: DataFrame) -> DataFrame:
         after = materialize(
             state.join(far, ["file", "to"], "left").join(hit, ["file", "x"], "left")
             .select("file", "x", F.col("next").alias("to"), F.coalesce(F.col("seen") | F.col("hit"), F.col("seen")).alias("seen")),
-            "chain",
+            "chain", slim=True,
         )
         release(state)
         state, stride = after, stride * 2
@@ -138,7 +138,7 @@ def read(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column]
     )
     to = F.col("x") + len(MAGIC) + F.col("begin") + F.col("length") + len(BREAK)
     found = materialize(_placed(scanned).withColumn("to", to), "segments")
-    true = materialize(reachable(found.select("file", "x", "to")), "records")
+    true = materialize(reachable(found.select("file", "x", "to")), "records", slim=True)
     records = found.join(true, ["file", "x"])
     every = records.where("whole").select("header", "values.*")
     if (longer := records.where("not whole")).limit(1).count():

@@ -343,3 +343,12 @@ def test_exponent_is_bisected(spark):
     w /= w.sum()
     assert -(w * np.log2(w)).sum() == pytest.approx(1.4, rel=1e-9)
     assert mixing.exponent(shares, max_repeat=8) == 0.0 and mixing.exponent(shares, target_entropy=0.5) == 1.0
+
+
+def test_intermediate_tables_can_be_cleaned(spark):
+    kept = common.materialize(spark.range(5), "test")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(kept._loomtide_path).getParent()
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    assert kept.count() == 5 and fs.exists(folder)
+    common.clean(spark)
+    assert not fs.exists(folder)
