@@ -20,10 +20,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import materialize
+from loomtide.llm.common import materialize, small_batches
 
-#: Pieces of one length are ranked in groups of about so many rows.
-RANK_ROWS = 200_000
+#: Pieces of one length are ranked in groups of about so many rows, or of one
+#: in RANK_GROUPS of all pieces if that is more.
+RANK_ROWS, RANK_GROUPS = 1000, 2000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,7 +85,7 @@ def pieces(docs: DataFrame, tokenizer: str, ranks: str | None, capacity: int, en
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
 def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -175,7 +176,7 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
     cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     places = _places(plan(counts, capacity), capacity)
-    salts = max(1, -(-max(counts.values(), default=0) // RANK_ROWS))
+    salts = max(1, -(-max(counts.values(), default=0) // max(RANK_ROWS, sum(counts.values()) // RANK_GROUPS)))
     salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)))
     before = (
         salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
