@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomtide.llm.common import small_batches
+
 WINDOW, POPULAR = 64, 16
 #: Texts under SHORT bytes, or without a feature, use every window of GRAM bytes.
 SHORT, GRAM = 256, 16
@@ -29,8 +31,10 @@ FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
 CUTOFF = 0.3
 #: Entropies are told apart to a thousandth of their range.
 LEVELS = 1000
-#: Bytes worked on at once, and documents in a bucket of neighbours.
-CHUNK, BUCKET_DOCS = 1 << 20, 5000
+#: Bytes worked on at once.
+CHUNK = 1 << 20
+#: Documents in a bucket of neighbours, unless there would be more buckets than this.
+BUCKET_DOCS, MAX_BUCKETS = 1000, 20_000
 
 # c log2 c in whole numbers, so that sums don't depend on what stands before.
 _SCALE = 1 << 16
@@ -215,9 +219,9 @@ def _in_order(docs: DataFrame) -> DataFrame:
     """(bucket, borrowed, doc_id, text): buckets are ranges of doc_id, each in
     order and followed by the first row of the next bucket (the last by the
     first of all), which is marked as borrowed."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = max(1, rows.count() // BUCKET_DOCS)
+    n = min(MAX_BUCKETS, max(1, rows.count() // BUCKET_DOCS))
     cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else [])
 
     @F.pandas_udf("int")
@@ -236,7 +240,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
     else:
         lent = placed.where(F.col("place").isin(list(to))).select(F.element_at(lender, F.col("place")).alias("bucket"), F.lit(True).alias("borrowed"), "doc_id", "text")
     every = placed.select("bucket", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(lent)
-    return every.repartition(n, "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
+    return every.repartition(-(-n // 4), "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
 
 
 def fingerprint(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
