@@ -224,23 +224,22 @@ def _in_order(docs: DataFrame) -> DataFrame:
     n = min(MAX_BUCKETS, max(1, rows.count() // BUCKET_DOCS))
     cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else [])
 
+    def own(ids: pd.Series) -> np.ndarray:
+        return np.searchsorted(cuts, ids.to_numpy(np.float64), "right").astype(np.int32)
+
     @F.pandas_udf("int")
     def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.float64), "right").astype(np.int32))
+        return pd.Series(own(ids))
 
-    placed = rows.withColumn("place", place).withColumn("bucket", bucket("place"))
-    heads = placed.groupBy("bucket").agg(F.min("place").alias("head")).orderBy("bucket").collect()  # a row a bucket
+    heads = rows.select(place.alias("place")).groupBy(bucket("place").alias("bucket")).agg(F.min("place").alias("head")).orderBy("bucket").collect()  # MAX_BUCKETS rows
     to = {r["head"]: heads[i - 1]["bucket"] for i, r in enumerate(heads)}
-    if not to:
-        return placed.select("bucket", F.lit(False).alias("borrowed"), "doc_id", "text")
-    lender = F.create_map(*[x for k, v in to.items() for x in (F.lit(k).cast("long"), F.lit(v).cast("int"))]) if len(to) < 256 else None
-    if lender is None:
-        side = docs.sparkSession.createDataFrame(list(to.items()), "place long, to int")
-        lent = placed.join(F.broadcast(side), "place").select(F.col("to").alias("bucket"), F.lit(True).alias("borrowed"), "doc_id", "text")
-    else:
-        lent = placed.where(F.col("place").isin(list(to))).select(F.element_at(lender, F.col("place")).alias("bucket"), F.lit(True).alias("borrowed"), "doc_id", "text")
-    every = placed.select("bucket", F.lit(False).alias("borrowed"), "doc_id", "text").unionByName(lent)
-    return every.repartition(-(-n // 4), "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
+
+    @F.pandas_udf("array<int>")
+    def buckets(ids: pd.Series) -> pd.Series:
+        return pd.Series([[b, to[i]] if i in to else [b] for i, b in zip(ids.tolist(), own(ids).tolist())])
+
+    dealt = rows.select("doc_id", "text", F.posexplode(buckets(place)).alias("k", "bucket")).select("bucket", (F.col("k") > 0).alias("borrowed"), "doc_id", "text")
+    return dealt.repartition(-(-n // 4), "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
 
 
 def fingerprint(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
