@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomtide.operators.folds import BeatPeaks, HeadPeaks, Refractory
+from loomtide.operators.halo import chunked
 from loomtide.operators.scan import scan
 from loomtide.schema import HISTORY, frames_for_beats
 
@@ -27,14 +28,19 @@ def _refractory(df: DataFrame, keys: list[str], cooldown: int, last: int = 0) ->
     return out.where("fired").drop("fired")
 
 
-def percentile(df: DataFrame, percent: float = 99.0, history: int = HISTORY, cooldown: int = DEFAULT_COOLDOWN, min_flux: float = 1e-7, keys: list[str] = ("track",)) -> DataFrame:
+def percentile(df: DataFrame, percent: float = 99.0, history: int = HISTORY, cooldown: int = DEFAULT_COOLDOWN, min_flux: float = 1e-7, keys: list[str] = ("track",), chunk: int | None = None) -> DataFrame:
     """Adds energy to the rows (keys, frame, x) that are onsets.
 
     x must exceed a percentile of up to ``history`` values before it, of which
-    there must be ten; where that is near silence, 1000 times min_flux.
+    there must be ten; where that is near silence, 1000 times min_flux. With a
+    chunk, thresholds of long tracks (frames without gaps) are worked out in
+    chunks of so many frames; only candidates are folded in one task.
     """
-    w = _before(list(keys), history)
-    seen = df.withColumn("threshold", F.percentile("x", F.lit(percent / 100.0)).over(w)).withColumn("__n", F.count("x").over(w))
+    def thresholds(rows: DataFrame, own: list[str]) -> DataFrame:
+        w = _before(own, history)
+        return rows.withColumn("threshold", F.percentile("x", F.lit(percent / 100.0)).over(w)).withColumn("__n", F.count("x").over(w))
+
+    seen = thresholds(df, list(keys)) if chunk is None else chunked(df, thresholds, history, chunk=chunk, keys=list(keys))
     near = F.col("threshold") < min_flux
     hit = F.when(near, F.col("x") > min_flux * 1000).otherwise(F.col("x") > F.col("threshold"))
     energy = F.when(near, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (F.col("x") - F.col("threshold")) / (F.col("threshold") + 1e-10)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomtide.functions import arrays as A
 from loomtide.operators.folds import Shape, Variability
+from loomtide.operators.halo import chunked
 from loomtide.operators.scan import scan
 from loomtide.schema import alpha_for, alpha_for_seconds, frames_for_beats
 
@@ -26,16 +27,16 @@ def shape(frames: DataFrame, alpha: float = 0.95, kernel: int = 7, mag: str = "m
     return scan(frames, Shape(alpha, kernel), [mag], keep=list(keep))
 
 
-def median(frames: DataFrame, window: int | None = None, kernel: int = 15, mag: str = "mag") -> DataFrame:
+def median(frames: DataFrame, window: int | None = None, kernel: int = 15, mag: str = "mag", chunk: int | None = None) -> DataFrame:
     """Adds sustained (each bin's median over the last frames, this one
     included) and stability (its share beside the median over neighbours).
 
     The window over time is one over rows of a track, on the frames' arrays;
     the medians of all bins come from the same window, so that there is one
-    shuffle and no row for each bin.
+    shuffle and no row for each bin. With a chunk, long tracks (frames without
+    gaps) are worked on in chunks of so many frames.
     """
     n = frames_for_beats(60.0, 1.0) if window is None else window
-    w = Window.partitionBy("track").orderBy("frame").rowsBetween(-(n - 1), 0)
     across = F.transform(F.sequence(F.lit(0), F.size(mag) - 1), lambda i: F.sort_array(F.transform(F.col("__seen"), lambda s: F.get(s, i))))
 
     def middle(a: Column) -> Column:
@@ -43,7 +44,11 @@ def median(frames: DataFrame, window: int | None = None, kernel: int = 15, mag:
         half = F.floor(k / 2).cast("int")
         return F.when(k % 2 == 1, F.get(a, half)).otherwise((F.get(a, half - 1) + F.get(a, half)) / 2)
 
-    out = frames.withColumn("__seen", F.collect_list(mag).over(w)).withColumn("sustained", F.transform(across, middle)).drop("__seen")
+    def held(rows: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(-(n - 1), 0)
+        return rows.withColumn("__seen", F.collect_list(mag).over(w)).withColumn("sustained", F.transform(across, middle)).drop("__seen")
+
+    out = held(frames, ["track"]) if chunk is None else chunked(frames, held, n - 1, chunk=chunk)
     out = out.withColumn("__near", A.sliding_median(F.col(mag), kernel))
     share = F.zip_with("sustained", "__near", lambda h, p: F.when(h + p > 1e-10, h / (h + p + 1e-10)).otherwise(F.lit(1.0)))
     return out.withColumn("stability", share).drop("__near")

@@ -283,3 +283,13 @@ def test_engine_in_batch_and_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("engine").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     assert q.awaitTermination(200)
     assert sorted(tuple(r) for r in spark.sql("SELECT * FROM engine").collect()) == want
+
+
+def test_chunks_of_a_long_track_change_nothing(spark):
+    r = np.random.default_rng(1)
+    df = spark.createDataFrame([(t, f, float(r.random() ** 8), r.random(20).tolist()) for t, n in ((1, 700), (2, 30)) for f in range(1, n + 1)], "track long, frame long, x double, mag array<double>")
+    for a, b in ((onsets.percentile(df.drop("mag")), onsets.percentile(df.drop("mag"), chunk=64)), (stability.median(df, 20, 7), stability.median(df, 20, 7, chunk=50))):
+        assert a.columns == b.columns
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+    with pytest.raises(ValueError):
+        stability.median(df, 60, 7, chunk=50)
