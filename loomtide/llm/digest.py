@@ -46,9 +46,15 @@ _ODD = np.random.default_rng(7).integers(1, 1 << 63, WINDOW // 8, np.uint64) * n
 
 def entropy_levels(x: np.ndarray) -> np.ndarray:
     """The level of the window that starts at each byte of x."""
-    n = len(x)
-    if n < WINDOW:
+    n = len(x) - WINDOW + 1
+    if n <= 0:
         return np.zeros(0, np.int32)
+    # A long text is gone through in parts that overlap by a window.
+    return np.concatenate([_levels(x[lo : min(n, lo + 2 * CHUNK) + WINDOW - 1]) for lo in range(0, n, 2 * CHUNK)])
+
+
+def _levels(x: np.ndarray) -> np.ndarray:
+    n = len(x)
     at = np.argsort(x, kind="stable")
     # Places in the order of symbols, those of different symbols far apart.
     kind = np.int32 if n < 1 << 22 else np.int64
@@ -126,12 +132,16 @@ def features(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
         n = len(levels)
         if n >= WINDOW:
             doc = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(starts))
-            key = (ranks[levels].astype(np.uint64) << np.uint64(32)) | np.arange(n, dtype=np.uint64)
-            least = key
-            for s in (1, 2, 4, 8, 16, 32):
-                least = np.minimum(least[:-s], least[s:])
-            whole = doc[: len(least)] == doc[2 * WINDOW - 2 :]
-            points = np.bincount((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=n)
+            points = np.zeros(n, np.int32)
+            runs = n - WINDOW + 1
+            for lo in range(0, runs, 2 * CHUNK):
+                hi = min(runs, lo + 2 * CHUNK)
+                part = levels[lo : hi + WINDOW - 1]
+                least = (ranks[part].astype(np.uint64) << np.uint64(32)) | np.arange(len(part), dtype=np.uint64)
+                for s in (1, 2, 4, 8, 16, 32):
+                    least = np.minimum(least[:-s], least[s:])
+                whole = doc[lo:hi] == doc[lo + 2 * WINDOW - 2 : hi + 2 * WINDOW - 2]
+                points[lo : hi + WINDOW - 1] += np.bincount((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(part)).astype(np.int32)
             at = np.flatnonzero(points >= POPULAR)
             at = at[levels[at] > 0]
             if len(at):

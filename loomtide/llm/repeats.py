@@ -111,11 +111,31 @@ def _gram_hashes(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(x: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(places of anchors, their hashes, anchor of each string or -1) of joined texts."""
-    width = length - GRAM + 1
+    """(places of anchors, their hashes, anchor of each string or -1) of joined texts.
+
+    Goes through a long text in parts that overlap by a string, so that what
+    is held beside it is bounded.
+    """
     n = len(x) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    of, hashes, seen = np.empty(n, np.int64), np.zeros(len(x), np.uint64), np.zeros(len(x), bool)
+    for lo in range(0, n, CHUNK):
+        hi = min(n, lo + CHUNK)
+        own, h = _leftmost(x[lo : hi + length - 1], length)
+        own += lo
+        own[doc[lo:hi] != doc[lo + length - 1 : hi + length - 1]] = -1
+        of[lo:hi] = own
+        found = np.unique(own[own >= 0])
+        seen[found] = True
+        hashes[found] = h[found - lo]
+    at = np.flatnonzero(seen)
+    return at, hashes[at], of
+
+
+def _leftmost(x: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(anchor of the string at each place, hashes of grams) of a bounded part."""
+    width = length - GRAM + 1
     h = _gram_hashes(x)
     low = np.uint64((1 << 24) - 1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -125,12 +145,7 @@ def anchors(x: np.ndarray, doc: np.ndarray, length: int) -> tuple[np.ndarray, np
         step *= 2
     if width > step:
         least = np.minimum(least[: -(width - step)], least[width - step :])
-    of = (least & low).astype(np.int64)[:n]
-    of[doc[:n] != doc[length - 1 :]] = -1
-    seen = np.zeros(len(x), bool)
-    seen[of[of >= 0]] = True
-    at = np.flatnonzero(seen)
-    return at, h[at], of
+    return (least & low).astype(np.int64), h
 
 
 def _around(x: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -48,7 +48,8 @@ def majority_bits(hashes: np.ndarray) -> int:
     """A bit is 1 if it is set in over half of the hashes; zero for none."""
     if not len(hashes):
         return 0
-    ones = np.unpackbits(hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    rows = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    ones = sum(np.unpackbits(rows[k : k + (1 << 16)], axis=1, bitorder="little").sum(0, dtype=np.int64) for k in range(0, len(rows), 1 << 16))
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 

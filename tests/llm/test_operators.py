@@ -227,6 +227,17 @@ def test_entropy_levels_by_counting():
         assert levels[i] == (digest._TOP - int(digest._F[counts].sum())) * (digest.LEVELS - 1) // digest._TOP
 
 
+@pytest.mark.parametrize("part", [100, 777])
+def test_parts_of_a_long_text_give_the_same_features(monkeypatch, part):
+    texts = [prose(k).encode() for k in (900, 3, 40, 700)] + [b"", b"x" * 3000]
+    ranks = digest.rarity(digest.level_counts(texts))
+    want = digest.features(texts, ranks)
+    levels = digest.entropy_levels(np.frombuffer(texts[0], np.uint8))
+    monkeypatch.setattr(digest, "CHUNK", part)
+    assert np.array_equal(levels, digest.entropy_levels(np.frombuffer(texts[0], np.uint8)))
+    assert all(np.array_equal(a, b) for a, b in zip(want, digest.features(texts, ranks)))
+
+
 def random_token(alphabet, n):
     return "".join(R.choice(alphabet) for _ in range(n))
 

@@ -46,6 +46,15 @@ def corpus(seed):
     return rows
 
 
+@pytest.mark.parametrize("part", [150, 997, 1 << 20])
+def test_parts_of_a_long_text_change_nothing(monkeypatch, part):
+    x = np.frombuffer(" ".join(t or "" for _, t in corpus(4))[:30_000].encode() + b"a" * 3000, np.uint8)
+    doc = np.repeat(np.arange(40, dtype=np.int32), -(-len(x) // 40))[: len(x)]
+    want = repeats.anchors(x, doc, 100)
+    monkeypatch.setattr(repeats, "CHUNK", part)
+    assert all(np.array_equal(a, b) for a, b in zip(want, repeats.anchors(x, doc, 100)))
+
+
 @pytest.mark.parametrize("seed,hot", [(1, 40), (2, 10**9), (3, 3)])
 def test_matches_brute_force(spark, monkeypatch, seed, hot):
     monkeypatch.setattr(repeats, "HOT_COUNT", hot)
