@@ -97,7 +97,7 @@ def accept(events: DataFrame, *filters: Callable[[DataFrame], Column]) -> DataFr
     return events
 
 
-DETECTORS = {"percentile": percentile, "flux": flux, "peaks": peaks, "beatnet": beat_peaks, "rnn": head_peaks}
+DETECTORS = {"percentile": percentile, "flux": flux, "peaks": peaks, "activations": beat_peaks, "heads": head_peaks}
 
 
 def detector(kind: str):
