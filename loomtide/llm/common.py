@@ -12,7 +12,7 @@ FALLBACK_DIR = "file:///tmp/checkpoints/loomtide"
 
 
 #: Rows in a batch that goes to Python, where rows hold whole texts.
-BATCH_ROWS = 2000
+BATCH_ROWS = 1000
 
 
 def small_batches(df: DataFrame) -> DataFrame:

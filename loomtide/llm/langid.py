@@ -27,7 +27,7 @@ from loomtide.llm.common import small_batches
 #: The labelled sample: so many documents a language, so many characters of each.
 SAMPLE_DOCS, SAMPLE_CHARS = 80, 250
 #: Symbols in a block, and in what is parsed at once.
-BLOCK, CHUNK = 256, 1 << 20
+BLOCK, CHUNK = 256, 1 << 19
 UNKNOWN = "und"
 
 
