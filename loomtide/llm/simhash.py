@@ -181,7 +181,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
 #: word of 64 bits that tells which of those that collide are worth a look.
 CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 18
 #: Buckets of more codes aren't compared pair by pair before groups are merged;
-#: they are gone through in parts of CHUNK codes.
+#: they are gone through in slices of CHUNK codes, each against each.
 SMALL, CHUNK = 4, 1024
 #: Bits that tell which rows can't be in a set of ids; one hash, bounded memory.
 SIEVE_BITS = 1 << 23
@@ -189,67 +189,105 @@ _SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(
 
 
 def _codes(text: bytes | None, k: int) -> list[int]:
-    """Three codes and a word, over the distinct shingles of a text."""
+    """Three codes, a word and the number, over the distinct shingles of a text."""
     h = np.unique(shingle_hashes(text, k))
     a, b, word = (majority_bits(_mix(h ^ s)) for s in _SALT)
     both, low = a | b << 64, (1 << CODE_BITS) - 1
-    return [both >> CODE_BITS * i & low for i in range(CODES)] + [_signed(word)]
+    return [both >> CODE_BITS * i & low for i in range(CODES)] + [_signed(word), len(h)]
 
 
-def _close_pairs(every: bool):
+def _close_pairs(every: bool, similarity: float):
     """Ids of a bucket's codes whose words are close.
 
-    With every, all such pairs. Otherwise each code of a larger bucket only
-    with the closest one: enough to merge groups step by step, and whatever
-    has a close code at all is in some pair.
+    With every, all such pairs of codes in different groups. Otherwise each
+    code of a larger bucket only with the closest one of the whole bucket:
+    enough to merge groups, and whatever has a close code at all is in some
+    pair. Codes whose numbers of shingles rule out the similarity don't count.
     """
-    def pairs(ids: np.ndarray, words: np.ndarray) -> Iterator[tuple[int, int]]:
-        order = np.argsort(ids)
-        ids, words = ids[order], words[order]
-        if every or len(ids) <= SMALL:
-            for i in range(1, len(ids)):
-                near = np.flatnonzero(np.bitwise_count(words[:i] ^ words[i]) <= WORD_RADIUS)
-                yield from ((int(ids[j]), int(ids[i])) for j in near)
-            return
+    def far(n: np.ndarray, more: np.ndarray) -> np.ndarray:
+        return n < similarity * more - 1e-6
+
+    def small(x: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+        """All pairs of the rows in buckets of up to SMALL, whose ends are given."""
+        word, group = x[3].view(np.uint64), x[5 if every else 2]
+        for d in range(1, SMALL):
+            i = np.flatnonzero(np.arange(len(end)) + d < end)
+            j = i + d
+            good = (np.bitwise_count(word[i] ^ word[j]) <= WORD_RADIUS) & (group[i] != group[j])
+            good &= ~far(np.minimum(x[4][i], x[4][j]), np.maximum(x[4][i], x[4][j]))
+            yield np.stack([x[2][i[good]], x[2][j[good]]], 1)
+
+    def large(x: np.ndarray) -> Iterator[np.ndarray]:
+        """Pairs of one larger bucket, slice against slice in the order of size."""
+        x = x[:, np.lexsort((x[2], x[4]))]
+        ids, word, n, root = x[2], x[3].view(np.uint64), x[4], x[5 if every else 2]
+        gaps, best = np.full(len(ids), 255, np.uint8), np.zeros(len(ids), np.int64)
         for lo in range(0, len(ids), CHUNK):
-            own, w = ids[lo : lo + CHUNK], words[lo : lo + CHUNK]
-            for i in range(len(own)):
-                gap = np.bitwise_count(w ^ w[i])
-                gap[i] = 255
-                j = int(gap.argmin())
-                if gap[j] <= WORD_RADIUS:
-                    yield (int(own[min(i, j)]), int(own[max(i, j)]))
+            a = slice(lo, lo + CHUNK)
+            for at in range(lo, len(ids), CHUNK):
+                if far(n[a][-1], n[at]):
+                    break
+                b = slice(at, at + CHUNK)
+                gap = np.bitwise_count(word[a, None] ^ word[None, b])
+                gap[far(n[a, None], n[None, b])] = 255
+                if at == lo:
+                    gap[np.tril_indices(len(gap))] = 255
+                if every:
+                    i, j = np.nonzero((gap <= WORD_RADIUS) & (root[a, None] != root[None, b]))
+                    yield np.stack([ids[a][i], ids[b][j]], 1)
+                    continue
+                for own, other, g in ((a, at, gap), (b, lo, gap.T)):
+                    j = g.argmin(1)
+                    least = g[np.arange(len(g)), j]
+                    nearer = least < gaps[own]
+                    gaps[own] = np.where(nearer, least, gaps[own])
+                    best[own] = np.where(nearer, j + other, best[own])
+        if not every:
+            i = np.flatnonzero(gaps <= WORD_RADIUS)
+            yield np.stack([ids[i], ids[best[i]]], 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (t, key, id, word) arrive in the order of (t, key)."""
-        held, kept = None, None
+        """Rows (t, key, id, word, n) and the group, with every, in the order of (t, key)."""
+        held: list[np.ndarray] = []
         seen: set[tuple[int, int]] = set()
 
-        def fresh(found: Iterator[tuple[int, int]]) -> list[tuple[int, int]]:
+        def fresh(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             """Pairs that this task hasn't just told; what it remembers is bounded."""
-            out = [p for p in dict.fromkeys(found) if p not in seen]
-            if len(seen) > 200_000:
-                seen.clear()
-            seen.update(out)
-            return out
+            for part in found:
+                out = [p for p in dict.fromkeys(map(tuple, np.sort(part, 1).tolist())) if p not in seen]
+                if len(seen) > 200_000:
+                    seen.clear()
+                seen.update(out)
+                if out:
+                    yield _signed_pairs(out)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            x = np.concatenate(held, 1)
+            size = x.shape[1]
+            yield from fresh(large(x) if size > SMALL else small(x, np.full(size, size)))
 
         for b in batches:
-            t, key, ids, words = (b.column(i).to_numpy() for i in range(4))
-            if not len(t):
+            x = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(b.num_columns)])
+            if not b.num_rows:
+                continue
+            cuts = np.concatenate([[0], np.flatnonzero((x[:2, 1:] != x[:2, :-1]).any(0)) + 1, [b.num_rows]])
+            if held and (x[:2, 0] == held[0][:2, 0]).all():
+                held.append(x[:, : cuts[1]])
+                cuts = cuts[1:]
+            if len(cuts) == 1:
                 continue
-            out: list[tuple[int, int]] = []
-            if kept and (t[0], key[0]) == held:
-                t, key = np.append(np.full(len(kept[0]), t[0]), t), np.append(np.full(len(kept[0]), key[0]), key)
-                ids, words = np.append(kept[0], ids), np.append(kept[1], words)
-            elif kept and len(kept[0]) > 1:
-                out += fresh(pairs(*kept))
-            words = words.view(np.uint64)
-            cuts = np.concatenate([[0], np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1])) + 1, [len(t)]])
-            for i in np.flatnonzero(np.diff(cuts[:-1]) > 1):
-                out += fresh(pairs(ids[cuts[i] : cuts[i + 1]], words[cuts[i] : cuts[i + 1]]))
-            held, kept = (t[-1], key[-1]), (ids[cuts[-2] :], words[cuts[-2] :].view(np.int64))
-            yield _signed_pairs(out)
-        yield _signed_pairs(fresh(pairs(kept[0], kept[1].view(np.uint64))) if kept and len(kept[0]) > 1 else [])
+            if held:
+                yield from close()
+            held = [x[:, cuts[-2] :]]
+            sizes = np.diff(cuts[:-1])
+            few = np.repeat(sizes <= SMALL, sizes)
+            if few.any():
+                ends = np.repeat(np.cumsum(sizes[sizes <= SMALL]), sizes[sizes <= SMALL])
+                yield from fresh(small(x[:, cuts[0] : cuts[-2]][:, few], ends))
+            for i in np.flatnonzero(sizes > SMALL):
+                yield from fresh(large(x[:, cuts[i] : cuts[i + 1]]))
+        if held:
+            yield from close()
 
     return run
 
@@ -311,28 +349,31 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
 
     Candidates collide in a table of covering masks over one of CODES codes;
     their shingles are then compared exactly. Texts with all bits equal are
-    one group. Links are looked for twice: first some of each bucket, then,
-    among what stands for the groups so found, all. Texts without words are
-    one group; a null doc_id goes before others; of equal rows one stays.
+    one group. Links are looked for twice: first with the closest of each
+    bucket, then between all of a bucket whose groups still differ. Texts
+    without words are one group; a null doc_id goes before others; of equal
+    rows one stays.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * 4
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["uid", "doc_id", "c0", "c1", "c2", "word"])
+            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * 5
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["uid", "doc_id", "c0", "c1", "c2", "word", "n"])
 
     text = F.col("text").cast("binary")
     uid = F.xxhash64("doc_id", "text")
     own = materialize(
-        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long"), "codes"
+        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long, n long"), "codes"
     )
     codes = ["c0", "c1", "c2", "word"]
     # The least document stands for all whose bits are equal.
-    equal = materialize(own.groupBy(*codes).agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"), F.min("doc_id").alias("doc_id")), "equal")
+    first = F.min_by(F.struct("uid", "n"), F.struct("doc_id", "uid")).alias("first")
+    equal = materialize(own.groupBy(*codes).agg(first, F.min("doc_id").alias("doc_id")).select(*codes, "first.uid", "first.n", "doc_id"), "equal")
 
     def candidates(rows: DataFrame, every: bool) -> DataFrame:
         tables = [F.struct(F.lit(c * 64 + t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for c in range(CODES) for t, m in enumerate(masks(CODE_RADIUS, CODE_BITS))]
-        spread = rows.select(F.explode(F.array(*tables)).alias("x"), "uid", "word").select("x.t", "x.key", "uid", "word")
-        met = spread.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close_pairs(every), "a long, b long").distinct()
+        names = ["uid", "word", "n", "root"] if every else ["uid", "word", "n"]
+        spread = rows.select(F.explode(F.array(*tables)).alias("x"), *names).select("x.t", "x.key", *names)
+        met = spread.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close_pairs(every, similarity), "a long, b long").distinct()
         return materialize(met, "pairs", slim=True)
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -344,11 +385,9 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     found = materialize(_similar(pairs, texts(pairs), k, similarity), "links", slim=True)
     first = materialize(connected_components(found).withColumnRenamed("node", "uid"), "groups", slim=True)
     grouped = equal.join(first, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    heads = grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid"))
-    # Nothing outside the pairs so far is close to anything.
+    # Whatever collides with a close code is in some pair; the rest can't be linked.
     paired = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    heads = materialize(heads.select("uid").join(paired, "uid", "left_semi"), "heads", slim=True)
-    again = candidates(equal.join(heads, "uid", "left_semi"), True)
+    again = candidates(materialize(grouped.join(paired, "uid", "left_semi"), "paired", slim=True), True)
     more = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs", slim=True)
     found = materialize(found.unionByName(_similar(more, texts(more), k, similarity)), "links", slim=True)
     last = connected_components(found).withColumnRenamed("node", "uid")
