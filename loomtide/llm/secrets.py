@@ -6,8 +6,9 @@ and a battery of tests of the hypothesis that its symbols are drawn at random
 from that alphabet: chi-squared uniformity over equal cells, the number of
 runs about the middle symbol, and the correlation of neighbours. The least
 p-value times the number of tests is the run's own. Over the whole corpus, the
-Benjamini-Hochberg procedure, weighted by length since a longer run says more,
-finds the runs that aren't random; those that stay are reported.
+Benjamini-Hochberg procedure finds the runs that aren't random; those that stay
+are reported. It cuts each class of lengths on its own: a longer run says more
+since its tests are sharper, so its p-value is taken as it is.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ MIN_RUN = 20
 FDR = 0.05
 #: p-values are counted in cells of a quarter of a power of two, down to 2^-128.
 CELLS, PER_OCTAVE = 513, 4
+#: Classes of lengths, each of twice the length of the one before; the last is open.
+CLASSES = 9
 
 _ASSIGN = re.compile(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 _HINTS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
@@ -133,22 +136,23 @@ def candidates(text: str, base: list[Span]) -> list[tuple[int, int, float]]:
     return found
 
 
-def _weighted(p: float, length: int) -> float:
-    return min(1.0, p * MIN_RUN / length)
+def _class(length: int) -> int:
+    return min(CLASSES, (length // MIN_RUN).bit_length()) - 1
 
 
 def _cell(p: float) -> int:
     return CELLS - 1 if p <= 0 else min(CELLS - 1, int(-math.log2(p) * PER_OCTAVE))
 
 
-def threshold(docs: DataFrame, fdr: float = FDR) -> int:
-    """The first cell of p-values that isn't random any more, over all documents.
+def threshold(docs: DataFrame, fdr: float = FDR) -> list[int]:
+    """The first cell of p-values that isn't random any more, for each class of
+    lengths, over all documents.
 
-    Only the counts of the CELLS cells come to the driver.
+    Only the counts of the CELLS cells of each class come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total = np.zeros((CLASSES, CELLS), np.int64)
         for b in batches:
             for value in b.column(0):
                 raw = value.as_py()
@@ -156,23 +160,26 @@ def threshold(docs: DataFrame, fdr: float = FDR) -> int:
                     text = raw.decode("utf-8", "replace")
                     if _RUN.search(text):
                         for a, e, p in candidates(text, base_spans(text, raw)):
-                            total[_cell(_weighted(p, e - a))] += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["cell", "n"])
-
-    cells = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    m, seen, best = sum(r["n"] for r in cells), 0, CELLS
-    for r in sorted(cells, key=lambda r: -r["cell"]):
-        seen += r["n"]
-        if 2.0 ** (-r["cell"] / PER_OCTAVE) <= fdr * seen / m:
-            best = r["cell"]
-    return best
-
-
-def spans_of(text: str, raw: bytes, first_cell: int) -> tuple[list[Span], list[Span]]:
+                            total[_class(e - a), _cell(p)] += 1
+        at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in at), pa.array(total[at])], names=["class", "cell", "n"])
+
+    cells = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class int, cell int, n long").groupBy("class", "cell").agg(F.sum("n").alias("n")).collect()
+    out = [CELLS] * CLASSES
+    for c in range(CLASSES):
+        own = sorted((r for r in cells if r["class"] == c), key=lambda r: -r["cell"])
+        m, seen = sum(r["n"] for r in own), 0
+        for r in own:
+            seen += r["n"]
+            if 2.0 ** (-r["cell"] / PER_OCTAVE) <= fdr * seen / m:
+                out[c] = r["cell"]
+    return out
+
+
+def spans_of(text: str, raw: bytes, first_cells: list[int]) -> tuple[list[Span], list[Span]]:
     """All spans, and the base ones, in the order of start and kind."""
     base = base_spans(text, raw)
-    added = [(a, 3, e) for a, e, p in candidates(text, base) if _cell(_weighted(p, e - a)) < first_cell]
+    added = [(a, 3, e) for a, e, p in candidates(text, base) if _cell(p) < first_cells[_class(e - a)]]
     return sorted(base + added), base
 
 
@@ -189,14 +196,14 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     rows give repeated rows, an empty table none. Only doc_id and text are
     read. The corpus is read twice: for the threshold, then for the spans.
     """
-    first_cell = threshold(docs, fdr)
+    first_cells = threshold(docs, fdr)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for value in b.column(1):
                 raw = value.as_py() or b""
-                every, base = spans_of(raw.decode("utf-8", "replace"), raw, first_cell)
+                every, base = spans_of(raw.decode("utf-8", "replace"), raw, first_cells)
                 n = [sum(s[1] == k for s in base) for k in range(3)]
                 rows.append((*n, hashlib.sha256(_said(base).encode()).hexdigest(), _said(every)))
             cols = list(zip(*rows)) or [()] * 5
@@ -212,7 +219,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", fdr: float = FDR) -> DataF
 
     A document without secrets stays as it is, a null text stays null.
     """
-    first_cell = threshold(docs, fdr)
+    first_cells = threshold(docs, fdr)
     at = docs.columns.index("text")
 
     def clean(raw: bytes | None) -> str | None:
@@ -220,7 +227,7 @@ def redact(docs: DataFrame, mark: str = "[REDACTED]", fdr: float = FDR) -> DataF
             return None
         text = raw.decode("utf-8", "replace")
         out, done = [], 0
-        for a, _, e in spans_of(text, raw, first_cell)[0]:
+        for a, _, e in spans_of(text, raw, first_cells)[0]:
             if a >= done:
                 out += [text[done:a], mark]
             done = max(done, e)
