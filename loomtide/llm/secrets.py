@@ -1,8 +1,8 @@
 """Secrets in texts: fixed patterns, and runs of characters that look random.
 
 Beside the patterns, every run of at least ``MIN_RUN`` characters that could
-be an encoded key gets an encoding (hexadecimal, base 32, base 62, base 64)
-and a battery of tests of the hypothesis that its symbols are drawn at random
+be an encoded key gets an encoding (hexadecimal, base 32 or 36 in one case,
+base 62, base 64, or letters alone) and a battery of tests of the hypothesis that its symbols are drawn at random
 from that alphabet: chi-squared uniformity over equal cells, the number of
 runs about the middle symbol, and the correlation of neighbours. The least
 p-value times the number of tests is the run's own. Over the whole corpus, the
@@ -41,9 +41,15 @@ _RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]+")
 _UPPER, _LOWER, _DIGIT = re.compile("[A-Z]"), re.compile("[a-z]"), re.compile("[0-9]")
+#: Pieces of a run between "=", the padding at its end included, and between signs.
+_PIECE, _WORD = re.compile(r"[^=]+(?:=+\Z)?"), re.compile("[A-Za-z0-9]{20,}")
+#: Letters alone are in the order of their frequency, which tells words best.
 _ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
+    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ETAOINSHRDLCUMWFGYPBVKJXQZ",
+    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
@@ -70,14 +76,26 @@ def base_spans(text: str, raw: bytes) -> list[Span]:
 def encoding(run: str) -> str | None:
     """The narrowest alphabet a run fits, if it could be an encoded key."""
     body = run.rstrip("=")
-    if "=" in body or len(body) < MIN_RUN or not _DIGIT.search(body):
+    if "=" in body or len(body) < MIN_RUN:
         return None
-    upper, lower = bool(_UPPER.search(body)), bool(_LOWER.search(body))
+    upper, lower, digit = bool(_UPPER.search(body)), bool(_LOWER.search(body)), bool(_DIGIT.search(body))
     if not (upper and lower):
-        if (upper or lower) and all(c in _INDEX["hex"] for c in body.lower()):
+        if not (upper or lower) or not body.isalnum():
+            return None
+        if all(c in _INDEX["hex"] for c in body.lower()):
             return "hex"
-        return "base32" if upper and all(c in _INDEX["base32"] for c in body) else None
-    return "base62" if body.isalnum() else "base64"
+        if not digit:
+            return "letters"
+        return "base32" if all(c in _INDEX["base32"] for c in body.upper()) else "base36"
+    if not body.isalnum():
+        return "base64"
+    return "base62" if digit else "base52"
+
+
+def _symbols(run: str, kind: str) -> str:
+    """The run without padding, in the case of its alphabet."""
+    body = run.rstrip("=")
+    return body.lower() if kind == "hex" else body.upper() if kind in ("base32", "base36", "letters") else body
 
 
 def _chi2_tail(x: float, df: int) -> float:
@@ -101,7 +119,7 @@ def _normal_tails(z: float) -> float:
 def p_value(run: str, kind: str) -> float:
     """How likely a random run of the alphabet fits randomness no better than this."""
     index, size = _INDEX[kind], len(_ALPHABETS[kind])
-    x = np.array([index[c] for c in (run.rstrip("=").lower() if kind == "hex" else run.rstrip("="))])
+    x = np.array([index[c] for c in _symbols(run, kind)])
     n = len(x)
     cells = max(2, min(16, n // 5))
     owner = np.arange(size) * cells // size
@@ -123,16 +141,38 @@ def p_value(run: str, kind: str) -> float:
     return min(1.0, len(tests) * min(tests))
 
 
-def candidates(text: str, base: list[Span]) -> list[tuple[int, int, float]]:
-    """(start, end, p) of the runs outside the base spans that have an encoding."""
-    found, starts = [], [s[0] for s in base]
+def _pieces(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
+    """What the runs hold outside the base spans, cut at inner "=" signs."""
+    taken: list[list[int]] = []
+    for a, _, e in base:
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([a, e])
+    ends = [e for _, e in taken]
     for run in _RUN.finditer(text):
-        a, b = run.span()
-        k = bisect_right(starts, b - 1)
-        if any(e > a for _, _, e in base[max(0, k - 3) : k]):
+        at, end = run.span()
+        k = bisect_right(ends, at)
+        while at < end:
+            a, e = taken[k] if k < len(taken) else (end, end)
+            for piece in _PIECE.finditer(text, at, max(at, min(a, end))):
+                yield piece.span()
+            at, k = max(at, e), k + 1
+
+
+def candidates(text: str, base: list[Span]) -> list[tuple[int, int, float]]:
+    """(start, end, p) of the pieces of runs that have an encoding.
+
+    One in a single case that has none, because of its signs, is cut at them.
+    """
+    found = []
+    for a, e in _pieces(text, base):
+        if e - a < MIN_RUN:
             continue
-        if kind := encoding(run[0]):
-            found.append((a, b, p_value(run[0], kind)))
+        parts = [(a, e)] if encoding(text[a:e]) else [m.span() for m in _WORD.finditer(text, a, e)]
+        for a, e in parts:
+            if kind := encoding(text[a:e]):
+                found.append((a, e, p_value(text[a:e], kind)))
     return found
 
 

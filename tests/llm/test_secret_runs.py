@@ -3,6 +3,8 @@
 import random
 import string
 
+import pytest
+
 from loomtide.llm import secrets
 
 B64 = string.ascii_letters + string.digits + "+/"
@@ -28,3 +30,28 @@ def test_long_random_runs_are_reported(spark):
     assert sum(map(bool, got[:1000])) <= 20
     for lo in range(1000, 1140, 20):
         assert sum(g == [k] for g, k in zip(got[lo : lo + 20], keys[lo - 1000 :])) >= 16
+
+
+@pytest.mark.parametrize("alphabet", [string.ascii_lowercase + string.digits, string.ascii_lowercase + "234567", string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_lowercase])
+def test_alphabets(alphabet):
+    r = random.Random(4)
+    p = [secrets.candidates(token(r, alphabet, n), []) for n in (24, 40, 100) for _ in range(50)]
+    assert all(len(x) == 1 for x in p) and sum(x[0][2] > 0.05 for x in p) >= 135
+
+
+def test_words_are_not_random():
+    for word in ("internationalization", "counterrevolutionaries", "AbstractSingletonProxyFactoryBean", "rechtsschutzversicherungsgesellschaften"):
+        assert all(p < 0.05 for _, _, p in secrets.candidates(word, [])), word
+
+
+def test_parts_of_runs():
+    r = random.Random(5)
+    key, low = token(r, B64, 38) + "7a", token(r, string.ascii_lowercase + string.digits, 32) + "z9"
+    hexes = token(r, "0123456789abcdef", 24)
+    for text, want in (
+        (f"AWS_SECRET_ACCESS_KEY={key}", [key]), (f"sig={key}==", [f"{key}=="]), (f"a={key}=b={key}", [key, key]),
+        (f"sk_live_{low}", [low]), (f"{hexes}_{key}", [f"_{key}"]), (f"{key}/{hexes}", [f"{key}/"]), (f"{key}={hexes}", [f"{key}="]),
+    ):
+        raw = text.encode()
+        said = [text[a:e] for a, e, _ in secrets.candidates(text, secrets.base_spans(text, raw))]
+        assert said == want, text
