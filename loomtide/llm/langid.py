@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from loomtide.llm.common import small_batches
 
-#: The labelled sample: so many documents a language, so many characters of each.
-SAMPLE_DOCS, SAMPLE_CHARS = 80, 250
+#: The labelled sample: so many documents a language, so many characters of each,
+#: and the pieces, spread over the whole of a longer text, that they come in.
+SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 80, 250, 5
 #: Symbols in a block, and in what is parsed at once.
 BLOCK, CHUNK = 256, 1 << 19
 UNKNOWN = "und"
@@ -36,17 +37,30 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def _spread(text: F.Column) -> F.Column:
+    """Pieces of the letters of a text, from its beginning to its end."""
+    letters = F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
+    size, n = SAMPLE_CHARS // PIECES, F.length(letters)
+    pieces = [F.substring(letters, F.floor((n - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
+    return F.when(n <= SAMPLE_CHARS, letters).otherwise(F.concat_ws("\n", *pieces))
+
+
 def sample(docs: DataFrame) -> dict[str, str]:
     """{lang: learned text} of a bounded sample of the rows that aren't held out.
 
-    The documents are those with the least hash; ranking them keeps
-    SAMPLE_DOCS rows a language and task before the shuffle.
+    The documents are those with the least hash. The hashes alone tell which
+    they are; a second pass reads their texts.
     """
     labelled = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", "n_chars" if "n_chars" in docs.columns else "doc_id").alias("at")
+        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "n_chars" if "n_chars" in docs.columns else "doc_id").alias("at")
     ).where(F.col("text").rlike(r"\p{L}"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))
-    rows = labelled.withColumn("rank", rank).where(F.col("rank") <= SAMPLE_DOCS).collect()
+
+    def least(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= SAMPLE_DOCS)
+
+    last = least(labelled.select("lang", "at"), "at").groupBy("lang").agg(F.max("at").alias("last"))
+    some = labelled.join(F.broadcast(last), "lang").where("at <= last").select("lang", "at", _spread(F.col("text")).alias("text"))
+    rows = least(some, "at", "text").collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
         out.setdefault(r["lang"], []).append(r["text"])
@@ -209,7 +223,9 @@ def identify(docs: DataFrame) -> DataFrame:
     """documents -> doc_id, held_out, lang_pred, score.
 
     Learned from the text and lang of rows that aren't held out, in a sample
-    of SAMPLE_DOCS documents a language; predicted from the text alone. A null
+    of SAMPLE_DOCS documents a language, of each all letters or, of more than
+    SAMPLE_CHARS, as many in PIECES pieces spread over the whole text;
+    predicted from the text alone. A null
     text or one without a letter is `und` with score 0, as is any if nothing
     could be learned. The score is 1 - best / second-best entropy. Ties go to
     the language that sorts first; repeated rows give repeated rows, an empty
