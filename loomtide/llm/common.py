@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used only where the session names no spark.checkpoint.dir, as in tests.
+#: Used only where the session names no spark.checkpoint.dir, on one machine, as in tests.
 FALLBACK_DIR = "file:///tmp/checkpoints/loomtide"
-
-
+#: Bits that tell which rows can't be in a set of keys; one hash, bounded memory.
+SIEVE_BITS = 1 << 23
 #: Rows in a batch that goes to Python, where rows hold whole texts.
 BATCH_ROWS = 1000
 
@@ -28,7 +31,11 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    """The folder that all executors share; a cluster has to name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -72,8 +79,31 @@ def release(df: DataFrame) -> None:
     drop_path(df.sparkSession, df._loomtide_path)
 
 
+def sieve(keys: DataFrame, name: str) -> Callable[[Column | str], Column]:
+    """A test of a column that holds for all of keys' column and few other values.
+
+    It keeps rows out of a shuffle that a join would drop anyway. SIEVE_BITS
+    bits come to the driver, whatever the number of keys; if there are very
+    many, the test lets more through and the join after it does the rest.
+    """
+    place = f"pmod(xxhash64(`{name}`), {SIEVE_BITS})"
+    words = keys.selectExpr(f"cast({place} div 64 as int) as w", f"shiftleft(1L, cast({place} % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    bits = np.zeros(SIEVE_BITS // 64, np.int64)
+    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    packed = bits.view(np.uint64)
+
+    @F.pandas_udf("boolean")
+    def holds(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((packed[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return lambda column: holds(F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS)))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
-    """(a, b) long links -> (node, root): root is the component's least node.
+    """(a, b) links -> (node, root): root is the component's least node.
+
+    Nodes are of one type that has an order, such as long or binary.
 
     Alternating large-star and small-star steps: each is an aggregation and a
     join on the node, so no component is ever gathered in one task, and the
@@ -96,7 +126,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     e = materialize(
         edges.where(F.col("a") != F.col("b"))
-        .select(F.greatest("a", "b").cast("long").alias("u"), F.least("a", "b").cast("long").alias("v")).distinct(),
+        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
         "edges", slim=True,
     )
     before = state(e)

@@ -15,13 +15,12 @@ from collections.abc import Iterator
 from itertools import accumulate, combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import connected_components, materialize, small_batches
+from loomtide.llm.common import connected_components, materialize, sieve, small_batches
 from loomtide.llm.digest import _mix
 
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -180,166 +179,246 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
 #: deduplicate() takes three codes of 40 bits, each with its own masks, and a
 #: word of 64 bits that tells which of those that collide are worth a look.
 CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 18
-#: Buckets of more codes aren't compared pair by pair before groups are merged;
-#: they are gone through in slices of CHUNK codes, each against each.
-SMALL, CHUNK = 4, 1024
-#: Bits that tell which rows can't be in a set of ids; one hash, bounded memory.
-SIEVE_BITS = 1 << 23
+#: Buckets of up to SMALL codes are compared side by side, those of over FULL in
+#: blocks of as many; CHUNK codes are held against a bucket at once.
+SMALL, FULL, CHUNK = 4, 16384, 256
+#: Shingles of the texts that are compared exactly in one place, about, and how
+#: many texts of a larger cluster all its blocks share.
+BLOCK_SHINGLES, PIVOTS = 1 << 20, 32
 _SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(3)]
+_TABLES = [(c, m) for c in range(CODES) for m in masks(CODE_RADIUS, CODE_BITS)]
 
 
-def _codes(text: bytes | None, k: int) -> list[int]:
-    """Three codes, a word and the number, over the distinct shingles of a text."""
+def _codes(text: bytes | None, k: int) -> list:
+    """Class (a hash of the set), three codes, a word and the size of a text's set of shingles."""
     h = np.unique(shingle_hashes(text, k))
     a, b, word = (majority_bits(_mix(h ^ s)) for s in _SALT)
     both, low = a | b << 64, (1 << CODE_BITS) - 1
-    return [both >> CODE_BITS * i & low for i in range(CODES)] + [_signed(word), len(h)]
+    return [xxhash.xxh3_128_digest(h.tobytes()), *(both >> CODE_BITS * i & low for i in range(CODES)), _signed(word), len(h)]
 
 
-def _close_pairs(every: bool, similarity: float):
-    """Ids of a bucket's codes whose words are close.
+def _far(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of n and m elements can't be as similar as that."""
+    return np.minimum(n, m) < similarity * np.maximum(n, m) - 1e-6
 
-    With every, all such pairs of codes in different groups. Otherwise each
-    code of a larger bucket only with the closest one of the whole bucket:
-    enough to merge groups, and whatever has a close code at all is in some
-    pair. Codes whose numbers of shingles rule out the similarity don't count.
+
+def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether the codes (a row each) of x and y collide in no table before theirs."""
+    gap = x ^ y
+    out = np.ones(len(table), bool)
+    for t in range(int(table.max(initial=0))):
+        c, mask = _TABLES[t]
+        out &= (table <= t) | (gap[c] & mask != 0)
+    return out
+
+
+def _joined(word: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+    """Pairs (i, j) that join all whose words are close, one for each but the first at most."""
+    found, rest = [], np.arange(len(word))
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            own, front = front[:CHUNK], front[CHUNK:]
+            near = np.bitwise_count(word[own][:, None] ^ word[rest][None, :]) <= WORD_RADIUS
+            near &= ~_far(n[own][:, None], n[rest][None, :], similarity)
+            hit = near.any(0)
+            found.append(np.stack([own[near[:, hit].argmax(0)], rest[hit]], 1))
+            front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def _candidates(similarity: float, full: int):
+    """Rows (t, key, block, id, word, n, codes) in the order of (t, key, block)
+    -> links (a, b) that join the close ones of each bucket.
+
+    A pair that has met in an earlier table isn't told again: what it joins is
+    joined there. Of a bucket with over full rows nothing but its (t, key) is
+    told, in a row of its own (a is null), and no more than so many are held.
     """
-    def far(n: np.ndarray, more: np.ndarray) -> np.ndarray:
-        return n < similarity * more - 1e-6
+    cut = 3
+
+    def links(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        good = _first_met(x[6:, i], x[6:, j], x[0, i])
+        return np.stack([x[3, i[good]], x[3, j[good]]], 1)
 
     def small(x: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
-        """All pairs of the rows in buckets of up to SMALL, whose ends are given."""
-        word, group = x[3].view(np.uint64), x[5 if every else 2]
+        """Buckets of up to SMALL rows, whose ends are given, all at once."""
+        word = x[4].view(np.uint64)
         for d in range(1, SMALL):
             i = np.flatnonzero(np.arange(len(end)) + d < end)
-            j = i + d
-            good = (np.bitwise_count(word[i] ^ word[j]) <= WORD_RADIUS) & (group[i] != group[j])
-            good &= ~far(np.minimum(x[4][i], x[4][j]), np.maximum(x[4][i], x[4][j]))
-            yield np.stack([x[2][i[good]], x[2][j[good]]], 1)
+            i = i[(np.bitwise_count(word[i] ^ word[i + d]) <= WORD_RADIUS) & ~_far(x[5, i], x[5, i + d], similarity)]
+            if len(i):
+                yield links(x, i, i + d)
 
     def large(x: np.ndarray) -> Iterator[np.ndarray]:
-        """Pairs of one larger bucket, slice against slice in the order of size."""
-        x = x[:, np.lexsort((x[2], x[4]))]
-        ids, word, n, root = x[2], x[3].view(np.uint64), x[4], x[5 if every else 2]
-        gaps, best = np.full(len(ids), 255, np.uint8), np.zeros(len(ids), np.int64)
-        for lo in range(0, len(ids), CHUNK):
-            a = slice(lo, lo + CHUNK)
-            for at in range(lo, len(ids), CHUNK):
-                if far(n[a][-1], n[at]):
-                    break
-                b = slice(at, at + CHUNK)
-                gap = np.bitwise_count(word[a, None] ^ word[None, b])
-                gap[far(n[a, None], n[None, b])] = 255
-                if at == lo:
-                    gap[np.tril_indices(len(gap))] = 255
-                if every:
-                    i, j = np.nonzero((gap <= WORD_RADIUS) & (root[a, None] != root[None, b]))
-                    yield np.stack([ids[a][i], ids[b][j]], 1)
-                    continue
-                for own, other, g in ((a, at, gap), (b, lo, gap.T)):
-                    j = g.argmin(1)
-                    least = g[np.arange(len(g)), j]
-                    nearer = least < gaps[own]
-                    gaps[own] = np.where(nearer, least, gaps[own])
-                    best[own] = np.where(nearer, j + other, best[own])
-        if not every:
-            i = np.flatnonzero(gaps <= WORD_RADIUS)
-            yield np.stack([ids[i], ids[best[i]]], 1)
+        found = _joined(x[4].view(np.uint64), x[5], similarity)
+        if len(found):
+            yield links(x, found[:, 0], found[:, 1])
+
+    def told(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for p in found:
+            none = pa.nulls(len(p), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none.cast(pa.int16()), none], names=["a", "b", "t", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (t, key, id, word, n) and the group, with every, in the order of (t, key)."""
         held: list[np.ndarray] = []
-        seen: set[tuple[int, int]] = set()
-
-        def fresh(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-            """Pairs that this task hasn't just told; what it remembers is bounded."""
-            for part in found:
-                out = [p for p in dict.fromkeys(map(tuple, np.sort(part, 1).tolist())) if p not in seen]
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.update(out)
-                if out:
-                    yield _signed_pairs(out)
+        size, skipped = 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
             x = np.concatenate(held, 1)
-            size = x.shape[1]
-            yield from fresh(large(x) if size > SMALL else small(x, np.full(size, size)))
+            yield from told(large(x) if x.shape[1] > SMALL else small(x, np.full(x.shape[1], x.shape[1])))
 
-        for b in batches:
-            x = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(b.num_columns)])
-            if not b.num_rows:
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            cuts = np.concatenate([[0], np.flatnonzero((x[:2, 1:] != x[:2, :-1]).any(0)) + 1, [b.num_rows]])
-            if held and (x[:2, 0] == held[0][:2, 0]).all():
+            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)])
+            cuts = np.concatenate([[0], np.flatnonzero((x[:cut, 1:] != x[:cut, :-1]).any(0)) + 1, [x.shape[1]]])
+            if skipped is not None and tuple(x[:cut, 0]) == skipped:
+                cuts = cuts[1:]
+            elif held and (x[:cut, 0] == held[0][:cut, 0]).all():
                 held.append(x[:, : cuts[1]])
+                size += int(cuts[1])
                 cuts = cuts[1:]
+            if held and size > full:
+                skipped, held = tuple(held[0][:cut, 0]), []
+                key = pa.array([skipped[1]])
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([skipped[0]], pa.int16()), key], names=["a", "b", "t", "key"])
             if len(cuts) == 1:
                 continue
             if held:
                 yield from close()
-            held = [x[:, cuts[-2] :]]
+            held, size, skipped = [x[:, cuts[-2] :]], int(cuts[-1] - cuts[-2]), None
             sizes = np.diff(cuts[:-1])
             few = np.repeat(sizes <= SMALL, sizes)
             if few.any():
                 ends = np.repeat(np.cumsum(sizes[sizes <= SMALL]), sizes[sizes <= SMALL])
-                yield from fresh(small(x[:, cuts[0] : cuts[-2]][:, few], ends))
+                yield from told(small(x[:, cuts[0] : cuts[-2]][:, few], ends))
             for i in np.flatnonzero(sizes > SMALL):
-                yield from fresh(large(x[:, cuts[i] : cuts[i + 1]]))
-        if held:
+                yield from told(large(x[:, cuts[i] : cuts[i + 1]]))
+        if held and size <= full:
             yield from close()
 
     return run
 
 
-def _sieve(ids: DataFrame):
-    """A test of column uid that holds for all ids and few others.
+def _met(classes: DataFrame, similarity: float, full: int) -> DataFrame:
+    """(id, c0, c1, c2, word, n) -> links (a, b) of ids that join all whose codes
+    collide in a table and whose words are close.
 
-    It keeps rows out of a shuffle that a join would drop anyway. SIEVE_BITS
-    bits come to the driver, whatever the number of ids; if there are very
-    many, the test lets more through and the join after it does the rest.
+    A bucket of over full codes is dealt out in blocks by the id; each two of
+    its blocks meet in a task, so that none holds more than twice as many.
     """
-    place = f"pmod(uid, {SIEVE_BITS})"
-    words = ids.selectExpr(f"cast({place} div 64 as int) as w", f"shiftleft(1L, cast({place} % 64 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    bits = np.zeros(SIEVE_BITS // 64, np.int64)
-    bits[words.column("w").to_numpy()] = words.column("b").to_numpy()
-    packed = bits.view(np.uint64)
+    tables = [F.struct(F.lit(t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for t, (c, m) in enumerate(_TABLES)]
+    columns = ["id", "word", "n", *(f"c{c}" for c in range(CODES))]
+    spread = classes.select(F.explode(F.array(*tables)).alias("x"), *columns).select("x.t", "x.key", *columns)
+
+    def within(rows: DataFrame, limit: int) -> DataFrame:
+        dealt = rows.repartition("t", "key", "block").sortWithinPartitions("t", "key", "block").select("t", "key", "block", *columns)
+        return dealt.mapInArrow(_candidates(similarity, limit), "a long, b long, t short, key long")
+
+    found = materialize(within(spread.withColumn("block", F.lit(0).cast("short")), full), "met", slim=True)
+    links = found.where("a is not null").select("a", "b")
+    over = found.where("a is null").select("t", "key")
+    if not over.limit(1).count():
+        return links
+    rows = spread.join(over, ["t", "key"])
+    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") * 2 / full).cast("int"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "own") * 65536 + F.greatest(i, "own"))
+    blocks = rows.join(sizes, ["t", "key"]).withColumn("own", own).withColumn("block", F.explode(pairs))
+    return links.unionByName(within(blocks, 1 << 62).select("a", "b"))
+
+
+def _similar(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) that join all sets connected by the similarity, one a set at most."""
+    every, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    rest, out = np.arange(len(sets)), []
+
+    def of(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.concatenate([flat[ends[i] - sizes[i] : ends[i]] for i in members]) if len(members) else flat[:0], np.concatenate([[0], np.cumsum(sizes[members])])
+
+    mark = np.zeros(len(every), bool)
+    while len(rest) > 1:
+        front, rest = [int(rest[0])], rest[1:]
+        around, at = of(rest)
+        while front and len(rest):
+            own = front.pop()
+            ids = flat[ends[own] - sizes[own] : ends[own]]
+            mark[ids] = True
+            common = np.diff(np.concatenate([[0], np.cumsum(mark[around])])[at])
+            mark[ids] = False
+            hit = common >= similarity * (sizes[own] + sizes[rest] - common)
+            if hit.any():
+                found = rest[hit].tolist()
+                out += [(own, j) for j in found]
+                front += found
+                rest = rest[~hit]
+                around, at = of(rest)
+    return out
+
+
+def _verified(k: int, similarity: float):
+    """Rows (root, block, cls, text) in the order of (root, block) -> links of
+    classes that join all of a block that the similarity connects."""
 
-    @F.pandas_udf("boolean")
-    def may_be(uid: pd.Series) -> pd.Series:
-        at = uid.to_numpy(np.int64) % SIEVE_BITS
-        return pd.Series((packed[at // 64] >> (at % 64).astype(np.uint64)) & np.uint64(1) == 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids, sets = None, [], []
 
-    return may_be
+        def close() -> list[tuple[bytes, bytes]]:
+            return [(ids[i], ids[j]) for i, j in _similar(sets, similarity)] if len(sets) > 1 else []
 
+        def told(links: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+            a, b = zip(*links) if links else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-def _signed_pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    x = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
+        for batch in batches:
+            out = []
+            for *own, cls, text in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                if own != held:
+                    out += close()
+                    held, ids, sets = own, [], []
+                ids.append(cls)
+                sets.append(np.unique(shingle_hashes(text.as_py(), k)))
+            if out:
+                yield told(out)
+        yield told(close())
 
+    return run
 
-def _similar(pairs: DataFrame, texts: DataFrame, k: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of uids whose sets of shingles are similar enough."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of: dict[int, np.ndarray] = {}
-        for batch in batches:
-            good = []
-            for a, b, x, y in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if len(of) > 2000:
-                    of.clear()
-                for uid, text in ((a, x), (b, y)):
-                    if uid not in of:
-                        of[uid] = np.unique(shingle_hashes(text, k))
-                common = len(np.intersect1d(of[a], of[b], assume_unique=True))
-                if common >= similarity * (len(of[a]) + len(of[b]) - common):
-                    good.append((a, b))
-            yield _signed_pairs(good)
-
-    return (
-        pairs.join(texts.select(F.col("uid").alias("a"), F.col("text").alias("x")), "a")
-        .join(texts.select(F.col("uid").alias("b"), F.col("text").alias("y")), "b")
-        .select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-    )
+
+def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
+    """(root, cls, id, n) clusters of candidates and (cls, text) -> links of
+    classes that join all of a cluster that the similarity connects.
+
+    A cluster of over ``block`` shingles is dealt out in blocks which share a few
+    texts. Blocks are joined inside, which leaves one large part and others;
+    then each text that isn't in the large part is held against all blocks.
+    """
+    sizes = members.groupBy("root").agg(F.sum("n").alias("total"), F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("total") / block).cast("int"))
+    sizes = materialize(sizes.withColumn("blocks", F.greatest("blocks", F.lit(1))), "clusters", slim=True)
+    dealt = members.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
+    shared = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("cls", F.lit(1)), F.col("size")) < PIVOTS)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+
+    def inside(rows: DataFrame) -> DataFrame:
+        """rows: root, block, cls."""
+        placed = rows.join(texts, "cls").select("root", "block", "cls", "text")
+        return placed.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_verified(k, similarity), "a binary, b binary")
+
+    found = materialize(inside(dealt.select("root", F.explode(F.when(shared, every).otherwise(F.array("own"))).alias("block"), "cls")), "links", slim=True)
+    if not sizes.where("blocks > 1").limit(1).count():
+        return found
+    parts = connected_components(found).withColumnRenamed("node", "cls").withColumnRenamed("root", "part")
+    large = materialize(dealt.where("blocks > 1").join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls")), "parts", slim=True)
+    most = large.groupBy("root", "part").agg(F.sum("n").alias("n")).groupBy("root").agg(F.max_by("part", F.struct("n", "part")).alias("most"))
+    movers = large.join(most, "root").where("part <> most")
+    pieces = movers.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).cast("int").alias("pieces"))
+    moved = movers.join(pieces, "root").withColumn("piece", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("pieces")).cast("int"))
+    against = large.join(pieces, "root").select("root", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "pieces", "cls")
+    meet = moved.select("root", F.explode(every).alias("block"), "piece", "pieces", "cls").unionByName(against).distinct()
+    return found.unionByName(inside(meet.select("root", (F.col("block") * F.col("pieces") + F.col("piece")).alias("block"), "cls")))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -347,56 +426,42 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     near-duplicates: texts linked by a Jaccard similarity of their sets of
     k-word shingles of at least similarity.
 
-    Candidates collide in a table of covering masks over one of CODES codes;
-    their shingles are then compared exactly. Texts with all bits equal are
-    one group. Links are looked for twice: first with the closest of each
-    bucket, then between all of a bucket whose groups still differ. Texts
-    without words are one group; a null doc_id goes before others; of equal
-    rows one stays.
+    Texts with equal sets are a class. Candidates collide in a table of
+    covering masks over one of CODES codes and have close words; whatever
+    candidates connect is a cluster, told by links that are fewer than its
+    classes in each bucket. In a cluster the sets of all its classes are
+    compared exactly, so that no link between those that collide is lost.
+
+    Texts without words (null, empty, blank) are one group; a shorter text is
+    one shingle, a long one is taken whole; a null doc_id goes before others,
+    and of one doc_id the row with the least hash of its text stays; of equal
+    rows one stays. An empty table gives no rows. All columns are kept; only
+    doc_id and text are looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = (pa.binary(), *(pa.int64(),) * (CODES + 2))
         for b in batches:
-            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * 5
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, pa.int64()) for c in cols)], names=["uid", "doc_id", "c0", "c1", "c2", "word", "n"])
+            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["uid", "doc_id", "cls", "c0", "c1", "c2", "word", "n"])
 
     text = F.col("text").cast("binary")
-    uid = F.xxhash64("doc_id", "text")
+    uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.when(text.isNull(), F.lit("-").cast("binary")).otherwise(F.concat(F.lit(":").cast("binary"), text)))))
     own = materialize(
-        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid long, doc_id long, c0 long, c1 long, c2 long, word long, n long"), "codes"
+        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid binary, doc_id long, cls binary, c0 long, c1 long, c2 long, word long, n long"), "codes"
     )
-    codes = ["c0", "c1", "c2", "word"]
-    # The least document stands for all whose bits are equal.
-    first = F.min_by(F.struct("uid", "n"), F.struct("doc_id", "uid")).alias("first")
-    equal = materialize(own.groupBy(*codes).agg(first, F.min("doc_id").alias("doc_id")).select(*codes, "first.uid", "first.n", "doc_id"), "equal")
-
-    def candidates(rows: DataFrame, every: bool) -> DataFrame:
-        tables = [F.struct(F.lit(c * 64 + t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for c in range(CODES) for t, m in enumerate(masks(CODE_RADIUS, CODE_BITS))]
-        names = ["uid", "word", "n", "root"] if every else ["uid", "word", "n"]
-        spread = rows.select(F.explode(F.array(*tables)).alias("x"), *names).select("x.t", "x.key", *names)
-        met = spread.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(_close_pairs(every, similarity), "a long, b long").distinct()
-        return materialize(met, "pairs", slim=True)
-
-    def texts(pairs: DataFrame) -> DataFrame:
-        ids = materialize(pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct(), "ids", slim=True)
-        some = docs.select(uid.alias("uid"), text.alias("text"))
-        return materialize(some.where(_sieve(ids)("uid")).join(ids, "uid", "left_semi").dropDuplicates(["uid"]), "texts", slim=True)
-
-    pairs = candidates(equal, False)
-    found = materialize(_similar(pairs, texts(pairs), k, similarity), "links", slim=True)
-    first = materialize(connected_components(found).withColumnRenamed("node", "uid"), "groups", slim=True)
-    grouped = equal.join(first, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    # Whatever collides with a close code is in some pair; the rest can't be linked.
-    paired = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-    again = candidates(materialize(grouped.join(paired, "uid", "left_semi"), "paired", slim=True), True)
-    more = materialize(again.join(pairs, ["a", "b"], "left_anti"), "pairs", slim=True)
-    found = materialize(found.unionByName(_similar(more, texts(more), k, similarity)), "links", slim=True)
-    last = connected_components(found).withColumnRenamed("node", "uid")
-    grouped = equal.join(last, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    stay = grouped.groupBy("root").agg(F.min_by("uid", F.struct("doc_id", "uid")).alias("uid")).select("uid")
+    codes = ["c0", "c1", "c2", "word", "n"]
+    equal = materialize(own.groupBy("cls", *codes).agg(F.min(F.struct("doc_id", "uid")).alias("first")).withColumn("id", F.xxhash64("cls")), "classes")
+    near = connected_components(_met(equal.select("id", *codes), similarity, FULL)).withColumnRenamed("node", "id")
+    members = materialize(equal.select("id", "cls", "n", "first.uid").join(near, "id"), "members", slim=True)
+    some = docs.select(uid.alias("uid"), text.alias("text")).where(sieve(members, "uid")("uid"))
+    texts = materialize(some.join(members.select("uid", "cls"), "uid").dropDuplicates(["uid"]).select("cls", "text"), "texts", slim=True)
+    linked = connected_components(_linked(members.select("root", "cls", "n"), texts, k, similarity, BLOCK_SHINGLES)).withColumnRenamed("node", "cls")
+    grouped = equal.select("cls", "first").join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
+    stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
     # What goes is the smaller part; rows that surely stay aren't moved.
     gone = materialize(own.select("uid").distinct().join(stay, "uid", "left_anti"), "gone", slim=True)
     rows = docs.withColumn("__uid", uid)
-    may_go = _sieve(gone)(F.col("__uid"))
+    may_go = sieve(gone, "uid")(F.col("__uid"))
     doubtful = rows.where(may_go).join(gone.withColumnRenamed("uid", "__uid"), "__uid", "left_anti").select(*rows.columns)
     kept = rows.where(~may_go).unionByName(doubtful)
     if own.groupBy("uid").count().where("count > 1").limit(1).count():
