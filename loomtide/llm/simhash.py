@@ -176,25 +176,36 @@ def near_duplicates(docs: DataFrame, k: int = 4, radius: int = 4, bucket: int =
 
 
 #: Similar texts differ in about 10 of 64 bits, too many for masks to cover. So
-#: deduplicate() takes three codes of 40 bits, each with its own masks, and a
-#: word of 64 bits that tells which of those that collide are worth a look.
-CODES, CODE_BITS, CODE_RADIUS, WORD_RADIUS = 3, 40, 4, 18
+#: deduplicate() takes three codes of 40 bits, each with its own masks. All their
+#: bits together tell which of those that collide are worth a look.
+CODES, CODE_BITS, CODE_RADIUS, ALL_RADIUS = 3, 40, 4, 30
 #: Buckets of up to SMALL codes are compared side by side, those of over FULL in
 #: blocks of as many; CHUNK codes are held against a bucket at once.
 SMALL, FULL, CHUNK = 4, 16384, 256
 #: Shingles of the texts that are compared exactly in one place, about, and how
 #: many texts of a larger cluster all its blocks share.
 BLOCK_SHINGLES, PIVOTS = 1 << 20, 32
-_SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(3)]
-_TABLES = [(c, m) for c in range(CODES) for m in masks(CODE_RADIUS, CODE_BITS)]
+_SALT = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(2)]
+#: The masks of all tables over the codes side by side, in two words of 60 bits each.
+_HALF = CODES * CODE_BITS // 2
+_TABLES = [(m << CODE_BITS * c & (1 << _HALF) - 1, m << CODE_BITS * c >> _HALF) for c in range(CODES) for m in masks(CODE_RADIUS, CODE_BITS)]
 
 
 def _codes(text: bytes | None, k: int) -> list:
-    """Class (a hash of the set), three codes, a word and the size of a text's set of shingles."""
+    """Class (a hash of the set), the codes as two words, and the size of a text's set of shingles."""
     h = np.unique(shingle_hashes(text, k))
-    a, b, word = (majority_bits(_mix(h ^ s)) for s in _SALT)
-    both, low = a | b << 64, (1 << CODE_BITS) - 1
-    return [xxhash.xxh3_128_digest(h.tobytes()), *(both >> CODE_BITS * i & low for i in range(CODES)), _signed(word), len(h)]
+    low, high = (majority_bits(_mix(h ^ s)) & (1 << _HALF) - 1 for s in _SALT)
+    return [xxhash.xxh3_128_digest(h.tobytes()), low, high, len(h)]
+
+
+def _node(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """What stands for a pair of words in links; if two share it, their candidates are one cluster."""
+    return _mix(_mix(low.astype(np.uint64)) ^ high.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _gap(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many bits the words differ that stand in the first two rows."""
+    return np.bitwise_count(x[0] ^ y[0]) + np.bitwise_count(x[1] ^ y[1])
 
 
 def _far(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
@@ -203,86 +214,85 @@ def _far(n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _first_met(x: np.ndarray, y: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Whether the codes (a row each) of x and y collide in no table before theirs."""
+    """Whether the words (a row each) of x and y agree under no mask before their table's."""
     gap = x ^ y
     out = np.ones(len(table), bool)
     for t in range(int(table.max(initial=0))):
-        c, mask = _TABLES[t]
-        out &= (table <= t) | (gap[c] & mask != 0)
+        low, high = _TABLES[t]
+        out &= (table <= t) | (gap[0] & low != 0) | (gap[1] & high != 0)
     return out
 
 
-def _joined(word: np.ndarray, n: np.ndarray, similarity: float) -> np.ndarray:
+def _joined(words: np.ndarray, n: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (i, j) that join all whose words are close, one for each but the first at most."""
-    found, rest = [], np.arange(len(word))
+    found, rest = [], np.arange(len(n))
     while len(rest) > 1:
         front, rest = rest[:1], rest[1:]
         while len(front) and len(rest):
             own, front = front[:CHUNK], front[CHUNK:]
-            near = np.bitwise_count(word[own][:, None] ^ word[rest][None, :]) <= WORD_RADIUS
-            near &= ~_far(n[own][:, None], n[rest][None, :], similarity)
+            near = _gap(words[:, own, None], words[:, None, rest]) <= ALL_RADIUS
+            near &= ~_far(n[own, None], n[None, rest], similarity)
             hit = near.any(0)
-            found.append(np.stack([own[near[:, hit].argmax(0)], rest[hit]], 1))
+            found.append((own[near[:, hit].argmax(0)], rest[hit]))
             front, rest = np.concatenate([front, rest[hit]]), rest[~hit]
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+    i, j = zip(*found) if found else ((np.zeros(0, np.int64),), (np.zeros(0, np.int64),))
+    return np.concatenate(i), np.concatenate(j)
 
 
 def _candidates(similarity: float, full: int):
-    """Rows (t, key, block, id, word, n, codes) in the order of (t, key, block)
-    -> links (a, b) that join the close ones of each bucket.
+    """Rows (t, block, low, high, n), those of a bucket together -> links (a, b)
+    of nodes that join the close ones of each bucket.
 
     A pair that has met in an earlier table isn't told again: what it joins is
-    joined there. Of a bucket with over full rows nothing but its (t, key) is
-    told, in a row of its own (a is null), and no more than so many are held.
+    joined there. Of a bucket with over full rows nothing but its table and key
+    are told, in a row of its own (a is null), and no more than so many are held.
     """
-    cut = 3
+    under = np.array(_TABLES, np.int64)
+    names, kinds = ["a", "b", "t", "k0", "k1"], (pa.int64(), pa.int64(), pa.int16(), pa.int64(), pa.int64())
 
-    def links(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        good = _first_met(x[6:, i], x[6:, j], x[0, i])
-        return np.stack([x[3, i[good]], x[3, j[good]]], 1)
+    def links(x: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+        good = _first_met(x[4:6, i], x[4:6, j], x[0, i])
+        i, j = i[good], j[good]
+        ends = [pa.array(_node(*x[4:6, k])) for k in (i, j)]
+        return pa.RecordBatch.from_arrays([*ends, *(pa.nulls(len(i), kind) for kind in kinds[2:])], names=names)
 
-    def small(x: np.ndarray, end: np.ndarray) -> Iterator[np.ndarray]:
+    def small(x: np.ndarray, end: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Buckets of up to SMALL rows, whose ends are given, all at once."""
-        word = x[4].view(np.uint64)
         for d in range(1, SMALL):
             i = np.flatnonzero(np.arange(len(end)) + d < end)
-            i = i[(np.bitwise_count(word[i] ^ word[i + d]) <= WORD_RADIUS) & ~_far(x[5, i], x[5, i + d], similarity)]
+            i = i[(_gap(x[4:6, i], x[4:6, i + d]) <= ALL_RADIUS) & ~_far(x[6, i], x[6, i + d], similarity)]
             if len(i):
                 yield links(x, i, i + d)
 
-    def large(x: np.ndarray) -> Iterator[np.ndarray]:
-        found = _joined(x[4].view(np.uint64), x[5], similarity)
-        if len(found):
-            yield links(x, found[:, 0], found[:, 1])
-
-    def told(found: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        for p in found:
-            none = pa.nulls(len(p), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1]), none.cast(pa.int16()), none], names=["a", "b", "t", "key"])
+    def large(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        i, j = _joined(x[4:6], x[6], similarity)
+        if len(i):
+            yield links(x, i, j)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """x has the rows table, block, key (two words), words (two), n."""
         held: list[np.ndarray] = []
         size, skipped = 0, None
 
         def close() -> Iterator[pa.RecordBatch]:
             x = np.concatenate(held, 1)
-            yield from told(large(x) if x.shape[1] > SMALL else small(x, np.full(x.shape[1], x.shape[1])))
+            yield from large(x) if x.shape[1] > SMALL else small(x, np.full(x.shape[1], x.shape[1]))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(batch.num_columns)])
-            cuts = np.concatenate([[0], np.flatnonzero((x[:cut, 1:] != x[:cut, :-1]).any(0)) + 1, [x.shape[1]]])
-            if skipped is not None and tuple(x[:cut, 0]) == skipped:
+            t, block, low, high, n = (batch.column(i).to_numpy().astype(np.int64) for i in range(5))
+            x = np.stack([t, block, low & under[t, 0], high & under[t, 1], low, high, n])
+            cuts = np.concatenate([[0], np.flatnonzero((x[:4, 1:] != x[:4, :-1]).any(0)) + 1, [x.shape[1]]])
+            if skipped is not None and tuple(x[:4, 0]) == skipped:
                 cuts = cuts[1:]
-            elif held and (x[:cut, 0] == held[0][:cut, 0]).all():
+            elif held and (x[:4, 0] == held[0][:4, 0]).all():
                 held.append(x[:, : cuts[1]])
                 size += int(cuts[1])
                 cuts = cuts[1:]
             if held and size > full:
-                skipped, held = tuple(held[0][:cut, 0]), []
-                key = pa.array([skipped[1]])
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([skipped[0]], pa.int16()), key], names=["a", "b", "t", "key"])
+                skipped, held = tuple(held[0][:4, 0]), []
+                yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip((None, None, skipped[0], *skipped[2:]), kinds)], names=names)
             if len(cuts) == 1:
                 continue
             if held:
@@ -292,9 +302,9 @@ def _candidates(similarity: float, full: int):
             few = np.repeat(sizes <= SMALL, sizes)
             if few.any():
                 ends = np.repeat(np.cumsum(sizes[sizes <= SMALL]), sizes[sizes <= SMALL])
-                yield from told(small(x[:, cuts[0] : cuts[-2]][:, few], ends))
+                yield from small(x[:, cuts[0] : cuts[-2]][:, few], ends)
             for i in np.flatnonzero(sizes > SMALL):
-                yield from told(large(x[:, cuts[i] : cuts[i + 1]]))
+                yield from large(x[:, cuts[i] : cuts[i + 1]])
         if held and size <= full:
             yield from close()
 
@@ -302,30 +312,32 @@ def _candidates(similarity: float, full: int):
 
 
 def _met(classes: DataFrame, similarity: float, full: int) -> DataFrame:
-    """(id, c0, c1, c2, word, n) -> links (a, b) of ids that join all whose codes
-    collide in a table and whose words are close.
+    """(low, high, n) -> links (a, b) of nodes that join all whose words agree
+    under a table's masks and are close.
 
-    A bucket of over full codes is dealt out in blocks by the id; each two of
-    its blocks meet in a task, so that none holds more than twice as many.
+    A row is told once for each table, with nothing but its words; the key is
+    worked out where it is needed. A bucket of over full rows is dealt out in
+    blocks; each two of its blocks meet in a task, so that none holds more than
+    twice as many.
     """
-    tables = [F.struct(F.lit(t).cast("short").alias("t"), F.col(f"c{c}").bitwiseAND(F.lit(m)).alias("key")) for t, (c, m) in enumerate(_TABLES)]
-    columns = ["id", "word", "n", *(f"c{c}" for c in range(CODES))]
-    spread = classes.select(F.explode(F.array(*tables)).alias("x"), *columns).select("x.t", "x.key", *columns)
+    spread = classes.select(F.explode(F.sequence(F.lit(0), F.lit(len(_TABLES) - 1)).cast("array<short>")).alias("t"), "low", "high", F.col("n").cast("int").alias("n"))
+    k0, k1 = (F.col(word).bitwiseAND(F.element_at(F.array(*(F.lit(t[i]).cast("long") for t in _TABLES)), F.col("t") + 1)) for i, word in enumerate(("low", "high")))
 
     def within(rows: DataFrame, limit: int) -> DataFrame:
-        dealt = rows.repartition("t", "key", "block").sortWithinPartitions("t", "key", "block").select("t", "key", "block", *columns)
-        return dealt.mapInArrow(_candidates(similarity, limit), "a long, b long, t short, key long")
+        dealt = rows.select("t", "block", "low", "high", "n").repartition("t", k0, k1, "block").sortWithinPartitions("t", k0, k1, "block")
+        return dealt.mapInArrow(_candidates(similarity, limit), "a long, b long, t short, k0 long, k1 long")
 
-    found = materialize(within(spread.withColumn("block", F.lit(0).cast("short")), full), "met", slim=True)
+    found = materialize(within(spread.withColumn("block", F.lit(0)), full), "met", slim=True)
     links = found.where("a is not null").select("a", "b")
-    over = found.where("a is null").select("t", "key")
+    over = found.where("a is null").select("t", "k0", "k1")
     if not over.limit(1).count():
         return links
-    rows = spread.join(over, ["t", "key"])
-    sizes = rows.groupBy("t", "key").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") * 2 / full).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "own") * 65536 + F.greatest(i, "own"))
-    blocks = rows.join(sizes, ["t", "key"]).withColumn("own", own).withColumn("block", F.explode(pairs))
+    bucket = ["t", "k0", "k1"]
+    rows = spread.withColumns({"k0": k0, "k1": k1}).join(over, bucket)
+    sizes = rows.groupBy(*bucket).agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") * 2 / full).cast("int"))
+    own = F.pmod(F.xxhash64("low", "high"), F.col("blocks")).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.least(i, "own") * 32768 + F.greatest(i, "own"))
+    blocks = rows.join(sizes, bucket).withColumn("own", own).withColumn("block", F.explode(pairs))
     return links.unionByName(within(blocks, 1 << 62).select("a", "b"))
 
 
@@ -389,7 +401,7 @@ def _verified(k: int, similarity: float):
 
 
 def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float, block: int) -> DataFrame:
-    """(root, cls, id, n) clusters of candidates and (cls, text) -> links of
+    """(root, cls, uid, n) clusters of candidates and (uid, text) -> links of
     classes that join all of a cluster that the similarity connects.
 
     A cluster of over ``block`` shingles is dealt out in blocks which share a few
@@ -403,11 +415,11 @@ def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float, blo
     every = F.sequence(F.lit(0), F.col("blocks") - 1)
 
     def inside(rows: DataFrame) -> DataFrame:
-        """rows: root, block, cls."""
-        placed = rows.join(texts, "cls").select("root", "block", "cls", "text")
+        """rows: root, block, cls, uid."""
+        placed = texts.join(rows, "uid").select("root", "block", "cls", "text")
         return placed.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_verified(k, similarity), "a binary, b binary")
 
-    found = materialize(inside(dealt.select("root", F.explode(F.when(shared, every).otherwise(F.array("own"))).alias("block"), "cls")), "links", slim=True)
+    found = materialize(inside(dealt.select("root", F.explode(F.when(shared, every).otherwise(F.array("own"))).alias("block"), "cls", "uid")), "links", slim=True)
     if not sizes.where("blocks > 1").limit(1).count():
         return found
     parts = connected_components(found).withColumnRenamed("node", "cls").withColumnRenamed("root", "part")
@@ -416,9 +428,9 @@ def _linked(members: DataFrame, texts: DataFrame, k: int, similarity: float, blo
     movers = large.join(most, "root").where("part <> most")
     pieces = movers.groupBy("root").agg(F.greatest(F.lit(1), F.ceil(F.sum("n") / block)).cast("int").alias("pieces"))
     moved = movers.join(pieces, "root").withColumn("piece", F.pmod(F.xxhash64("cls", F.lit(2)), F.col("pieces")).cast("int"))
-    against = large.join(pieces, "root").select("root", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "pieces", "cls")
-    meet = moved.select("root", F.explode(every).alias("block"), "piece", "pieces", "cls").unionByName(against).distinct()
-    return found.unionByName(inside(meet.select("root", (F.col("block") * F.col("pieces") + F.col("piece")).alias("block"), "cls")))
+    against = large.join(pieces, "root").select("root", F.col("own").alias("block"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), "pieces", "cls", "uid")
+    meet = moved.select("root", F.explode(every).alias("block"), "piece", "pieces", "cls", "uid").unionByName(against).distinct()
+    return found.unionByName(inside(meet.select("root", (F.col("block") * F.col("pieces") + F.col("piece")).alias("block"), "cls", "uid")))
 
 
 def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -427,8 +439,8 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     k-word shingles of at least similarity.
 
     Texts with equal sets are a class. Candidates collide in a table of
-    covering masks over one of CODES codes and have close words; whatever
-    candidates connect is a cluster, told by links that are fewer than its
+    covering masks over one of CODES codes, and all their codes are close;
+    whatever candidates connect is a cluster, told by links that are fewer than its
     classes in each bucket. In a cluster the sets of all its classes are
     compared exactly, so that no link between those that collide is lost.
 
@@ -439,23 +451,23 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     doc_id and text are looked at.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = (pa.binary(), *(pa.int64(),) * (CODES + 2))
         for b in batches:
-            cols = list(zip(*(_codes(t, k) for t in b.column(2).to_pylist()))) or [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["uid", "doc_id", "cls", "c0", "c1", "c2", "word", "n"])
+            cls, *codes = zip(*(_codes(t, k) for t in b.column(2).to_pylist())) if b.num_rows else [()] * 4
+            low, high, n = (np.array(c, np.int64) for c in codes)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cls, pa.binary()), *map(pa.array, (_node(low, high), low, high, n))], names=["uid", "doc_id", "cls", "id", "low", "high", "n"])
 
     text = F.col("text").cast("binary")
     uid = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), F.when(text.isNull(), F.lit("-").cast("binary")).otherwise(F.concat(F.lit(":").cast("binary"), text)))))
     own = materialize(
-        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid binary, doc_id long, cls binary, c0 long, c1 long, c2 long, word long, n long"), "codes"
+        small_batches(docs).select(uid.alias("uid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "uid binary, doc_id long, cls binary, id long, low long, high long, n long"), "codes"
     )
-    codes = ["c0", "c1", "c2", "word", "n"]
-    equal = materialize(own.groupBy("cls", *codes).agg(F.min(F.struct("doc_id", "uid")).alias("first")).withColumn("id", F.xxhash64("cls")), "classes")
-    near = connected_components(_met(equal.select("id", *codes), similarity, FULL)).withColumnRenamed("node", "id")
+    repeated = own.groupBy("uid").count().where("count > 1").limit(1).count()
+    equal = materialize(own.groupBy("cls", "id", "low", "high", "n").agg(F.min(F.struct("doc_id", "uid")).alias("first")), "classes")
+    near = connected_components(_met(equal, similarity, FULL)).withColumnRenamed("node", "id")
     members = materialize(equal.select("id", "cls", "n", "first.uid").join(near, "id"), "members", slim=True)
-    some = docs.select(uid.alias("uid"), text.alias("text")).where(sieve(members, "uid")("uid"))
-    texts = materialize(some.join(members.select("uid", "cls"), "uid").dropDuplicates(["uid"]).select("cls", "text"), "texts", slim=True)
-    linked = connected_components(_linked(members.select("root", "cls", "n"), texts, k, similarity, BLOCK_SHINGLES)).withColumnRenamed("node", "cls")
+    texts = docs.select(uid.alias("uid"), text.alias("text")).where(sieve(members, "uid")("uid"))
+    texts = texts.dropDuplicates(["uid"]) if repeated else texts
+    linked = connected_components(_linked(members, texts, k, similarity, BLOCK_SHINGLES)).withColumnRenamed("node", "cls")
     grouped = equal.select("cls", "first").join(linked, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     stay = grouped.groupBy("root").agg(F.min("first").alias("first")).select("first.uid")
     # What goes is the smaller part; rows that surely stay aren't moved.
@@ -464,6 +476,4 @@ def deduplicate(docs: DataFrame, k: int = 5, similarity: float = 0.8) -> DataFra
     may_go = sieve(gone, "uid")(F.col("__uid"))
     doubtful = rows.where(may_go).join(gone.withColumnRenamed("uid", "__uid"), "__uid", "left_anti").select(*rows.columns)
     kept = rows.where(~may_go).unionByName(doubtful)
-    if own.groupBy("uid").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__uid"])
-    return kept.drop("__uid")
+    return (kept.dropDuplicates(["__uid"]) if repeated else kept).drop("__uid")

@@ -67,12 +67,12 @@ def near_copies(r, n, words=60):
 @pytest.mark.parametrize("chunk,full", [(256, 16384), (2, 16384), (256, 3)])
 def test_links_through_any_member_of_a_group(spark, monkeypatch, chunk, full):
     """All collide; y is close to w and x, but the closest to x is one of another text."""
-    rows = [(1, text(0), 1), (2, text(6), 0b111), (3, text(3), 0), (4, text(900), 0b110), (5, text(500), 0b1111100), (6, text(700), 0b111100000)]
+    rows = [(1, text(0), 1), (2, text(6), 0b111), (3, text(3), 0), (4, text(900), 0b110), (5, text(500), 0b1100), (6, text(700), 0b1001)]
     words = {t: word for _, t, word in rows}
     w, y, x = sets_of([(0, text(0)), (0, text(3)), (0, text(6))])
     assert len(w & y) >= 0.8 * len(w | y) and len(x & y) >= 0.8 * len(x | y) and len(w & x) < 0.8 * len(w | x)
     codes = simhash._codes
-    monkeypatch.setattr(simhash, "_codes", lambda t, k: [codes(t, k)[0], 0, 0, 0, words[t.decode()], codes(t, k)[5]])
+    monkeypatch.setattr(simhash, "_codes", lambda t, k: [codes(t, k)[0], 0, words[t.decode()] << 52, codes(t, k)[3]])
     monkeypatch.setattr(simhash, "CHUNK", chunk)
     monkeypatch.setattr(simhash, "FULL", full)
     assert stay(spark, [(i, t) for i, t, _ in rows]) == ["1", "4", "5", "6"]
@@ -93,7 +93,7 @@ def test_a_large_group_of_near_copies(spark, monkeypatch, block, full):
 def test_few_links_are_told_of_a_large_bucket(spark):
     rows = near_copies(random.Random(3), 900)
     codes = [simhash._codes(t.encode(), 5) for t in {t for _, t in rows}]
-    table = spark.createDataFrame([(i, *c[1:]) for i, c in enumerate(codes)], "id long, c0 long, c1 long, c2 long, word long, n long")
+    table = spark.createDataFrame([(i, *c[1:]) for i, c in enumerate(codes)], "id long, low long, high long, n long")
     found = simhash._met(table, 0.8, simhash.FULL)
     assert found.distinct().count() == found.count() < 20 * len(codes)
 
