@@ -115,10 +115,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hash_rows(rows: np.ndarray) -> np.ndarray:
+def _hash_rows(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     """A 64-bit hash of each row of bytes, of a width that 8 divides."""
     words = np.ascontiguousarray(rows).view("<u8")
-    h = np.full(len(words), rows.shape[1], np.uint64)
+    h = np.full(len(words), rows.shape[1] + (seed << 32), np.uint64)
     for k in range(words.shape[1]):
         h = _mix(h ^ (words[:, k] * _ODD[k % len(_ODD)]))
     return h

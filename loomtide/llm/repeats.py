@@ -21,6 +21,10 @@ so the sorting is done group by group:
 Anchors that a sample of documents shows to be very frequent would gather too
 many occurrences. Their strings are compared as hashes of whole windows
 instead, which are dealt by that hash and collapsed in each batch before.
+
+What is called equal by its hash is compared by 128 bits; of 10^14 windows two
+different ones have the same with a probability under 10^-10. Anchors meet by a
+hash of 64 bits, and then their bytes are compared.
 """
 
 from __future__ import annotations
@@ -37,16 +41,17 @@ from loomtide.llm.common import materialize, small_batches
 from loomtide.llm.digest import _hash_rows, _mix
 
 LENGTH, GRAM = 100, 32
-#: Documents sampled for frequent anchors, and the occurrences that make one.
-HOT_DOCS, HOT_COUNT = 20_000, 40
+#: Documents sampled for frequent anchors, or one in HOT_SHARE if that is more;
+#: the occurrences that make one, and how many are told apart at most.
+HOT_DOCS, HOT_SHARE, HOT_COUNT, HOT_MOST = 20_000, 10_000, 40, 1 << 20
 #: Bytes of text worked on at once, and in a bucket of anchors or of documents.
 CHUNK, BUCKET_BYTES = 1 << 20, 16 << 20
 #: Stands for a null doc_id, which comes before all others.
 NULL_ID = -(1 << 63)
 
 _C = np.random.default_rng(11).integers(1, 1 << 63, GRAM // 8, np.uint64) * np.uint64(2) + np.uint64(1)
-_ANCHOR = [("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("dup", "<i4"), ("pos", "<i4"), ("l", "u1"), ("r", "u1")]
-_WINDOW = [("h", "<u8"), ("doc", "<i8"), ("dup", "<i4"), ("pos", "<i4")]
+_ANCHOR = [("h", "<u8"), ("c", "<u8"), ("d", "<u8"), ("doc", "<i8"), ("dup", "<i4"), ("pos", "<i4"), ("l", "u1"), ("r", "u1")]
+_WINDOW = [("h", "<u8"), ("g", "<u8"), ("doc", "<i8"), ("dup", "<i4"), ("pos", "<i4")]
 _SPAN = [("doc", "<i8"), ("dup", "<i4"), ("start", "<i4"), ("end", "<i4")]
 _EDGE = [("h", "<u8"), ("doc", "<i8"), ("dup", "<i4"), ("pos", "<i4")]
 _KIND = {0: _ANCHOR, 1: _SPAN, 2: _WINDOW, 3: _EDGE}
@@ -104,6 +109,8 @@ def _gram_hashes(x: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes from each place of x."""
     n = len(x) - GRAM + 1
     words = np.lib.stride_tricks.as_strided(x, (len(x) - 7, 8), (1, 1)).copy().view("<u8")[:, 0]
+    # Mixed first: a few changed bits of two words could cancel out in a sum.
+    words = _mix(words)
     h = words[:n] * _C[0]
     for k in range(1, GRAM // 8):
         h += words[8 * k : 8 * k + n] * _C[k]
@@ -190,7 +197,7 @@ def scan(length: int, buckets: int, hot: np.ndarray):
                 # Anchors that aren't frequent, with a hash of what is around them.
                 a, own = at[~frequent], doc[at[~frequent]]
                 hashes = h[~frequent]
-                c = np.zeros(len(a), np.uint64)
+                c, d = np.zeros(len(a), np.uint64), np.zeros(len(a), np.uint64)
                 left, right = np.zeros(len(a), np.uint8), np.zeros(len(a), np.uint8)
                 for lo in range(0, len(a), 1 << 16):
                     k = slice(lo, lo + (1 << 16))
@@ -199,37 +206,37 @@ def scan(length: int, buckets: int, hot: np.ndarray):
                     padded = np.zeros((len(rows), width + 8), np.uint8)
                     padded[:, : rows.shape[1]] = rows
                     padded[:, width], padded[:, width + 1] = left[k], right[k]
-                    c[k] = _hash_rows(padded)
+                    c[k], d[k] = _hash_rows(padded), _hash_rows(padded, 1)
                 pos = a - starts[own]
                 # The texts of a chunk are in any order, so the first of equal ones is by id.
-                order = np.lexsort((pos, dups[own], ids[own], c, hashes))
+                order = np.lexsort((pos, dups[own], ids[own], d, c, hashes))
                 again = np.zeros(len(a), bool)
-                again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (c[order[1:]] == c[order[:-1]])
+                again[order[1:]] = (hashes[order[1:]] == hashes[order[:-1]]) & (c[order[1:]] == c[order[:-1]]) & (d[order[1:]] == d[order[:-1]])
                 wide = again & (left.astype(np.int64) + right + GRAM >= length)
                 spans.append((ids[own[wide]], dups[own[wide]], pos[wide] - left[wide], pos[wide] + GRAM + right[wide]))
                 keep = ~again
-                cols = {"h": hashes[keep], "c": c[keep], "doc": ids[own[keep]], "dup": dups[own[keep]], "pos": pos[keep], "l": left[keep], "r": right[keep]}
+                cols = {"h": hashes[keep], "c": c[keep], "d": d[keep], "doc": ids[own[keep]], "dup": dups[own[keep]], "pos": pos[keep], "l": left[keep], "r": right[keep]}
                 out += _dealt(cols, 0, (cols["h"] % np.uint64(buckets)).astype(np.int64))
                 # Strings whose anchor is frequent, by their own hash.
                 is_hot = np.zeros(len(x) + 1, bool)
                 is_hot[at[frequent]] = True
                 p = np.flatnonzero(is_hot[of] & (of >= 0))
                 if len(p):
-                    w = np.zeros(len(p), np.uint64)
+                    w, g = np.zeros(len(p), np.uint64), np.zeros(len(p), np.uint64)
                     width = -(-length // 8) * 8
                     for lo in range(0, len(p), 1 << 16):
                         k = slice(lo, lo + (1 << 16))
                         padded = np.zeros((len(p[k]), width), np.uint8)
                         padded[:, :length] = x[p[k][:, None] + np.arange(length)]
-                        w[k] = _hash_rows(padded)
+                        w[k], g[k] = _hash_rows(padded), _hash_rows(padded, 1)
                     own = doc[p]
                     pos = p - starts[own]
-                    order = np.lexsort((pos, dups[own], ids[own], w))
+                    order = np.lexsort((pos, dups[own], ids[own], g, w))
                     again = np.zeros(len(p), bool)
-                    again[order[1:]] = w[order[1:]] == w[order[:-1]]
+                    again[order[1:]] = (w[order[1:]] == w[order[:-1]]) & (g[order[1:]] == g[order[:-1]])
                     spans.append((ids[own[again]], dups[own[again]], pos[again], pos[again] + length))
                     keep = ~again
-                    cols = {"h": w[keep], "doc": ids[own[keep]], "dup": dups[own[keep]], "pos": pos[keep]}
+                    cols = {"h": w[keep], "g": g[keep], "doc": ids[own[keep]], "dup": dups[own[keep]], "pos": pos[keep]}
                     out += _dealt(cols, 2, (w[keep] % np.uint64(buckets)).astype(np.int64))
                 known = merged(*(np.concatenate(s) for s in zip(*spans)))
                 out += _dealt(known, 1, known["doc"] % buckets)
@@ -246,20 +253,20 @@ def gather(length: int, buckets: int):
         for kind, data in zip(table.column("kind").to_pylist(), table.column("data").to_pylist()):
             rows[kind].append(data)
         a = _unpack(rows[0], 0)
-        order = np.lexsort((a["pos"], a["dup"], a["doc"], a["c"], a["h"]))
+        order = np.lexsort((a["pos"], a["dup"], a["doc"], a["d"], a["c"], a["h"]))
         a = {k: v[order] for k, v in a.items()}
         n = len(order)
         same_h, same = np.zeros(n, bool), np.zeros(n, bool)
         same_h[1:] = a["h"][1:] == a["h"][:-1]
-        same[1:] = same_h[1:] & (a["c"][1:] == a["c"][:-1])
+        same[1:] = same_h[1:] & (a["c"][1:] == a["c"][:-1]) & (a["d"][1:] == a["d"][:-1])
         wide = same & (a["l"].astype(np.int64) + a["r"] + GRAM >= length)
         pos = a["pos"].astype(np.int64)
         spans = [(a["doc"][wide], a["dup"][wide], pos[wide] - a["l"][wide], pos[wide] + GRAM + a["r"][wide])]
         w = _unpack(rows[2], 2)
-        order = np.lexsort((w["pos"], w["dup"], w["doc"], w["h"]))
+        order = np.lexsort((w["pos"], w["dup"], w["doc"], w["g"], w["h"]))
         w = {k: v[order] for k, v in w.items()}
         again = np.zeros(len(order), bool)
-        again[1:] = w["h"][1:] == w["h"][:-1]
+        again[1:] = (w["h"][1:] == w["h"][:-1]) & (w["g"][1:] == w["g"][:-1])
         spans.append((w["doc"][again], w["dup"][again], w["pos"][again], w["pos"][again].astype(np.int64) + length))
         s = _unpack(rows[1], 1)
         spans.append((s["doc"], s["dup"], s["start"], s["end"]))
@@ -280,7 +287,7 @@ EDGES = "h long, doc long, dup int, pos int, before binary, after binary"
 
 
 def surroundings(length: int):
-    """Documents of a bucket and its remaining anchors -> the bytes around them."""
+    """Documents of a bucket and its remaining anchors -> the bytes before them, and from them on."""
     side = length - GRAM
 
     def run(key: tuple, docs: pa.Table, packed: pa.Table) -> pa.Table:
@@ -294,7 +301,7 @@ def surroundings(length: int):
             if (i, d) != last:
                 last, raw = (i, d), text[i, d].as_py()
             before.append(raw[max(0, p - side) : p])
-            after.append(raw[p + GRAM : p + GRAM + side])
+            after.append(raw[p : p + GRAM + side])
         return pa.table([pa.array(e["h"].view(np.int64)), pa.array(e["doc"]), pa.array(e["dup"]), pa.array(e["pos"]), pa.array(before, pa.binary()), pa.array(after, pa.binary())], names=["h", "doc", "dup", "pos", "before", "after"])
 
     return run
@@ -387,12 +394,17 @@ def maximal(length: int, buckets: int):
     need = length - GRAM
 
     def solve(rows: list[tuple], out: list[tuple]) -> None:
+        """rows have the same hash; those with the same bytes are a group."""
         if len(rows) < 2:
             return
-        rows.sort(key=lambda r: r[:3])
-        for (doc, dup, pos, _, _), found in zip(rows, extents([r[3:] for r in rows], need)):
-            if found:
-                out.append((doc, dup, pos - found[0], pos + GRAM + found[1]))
+        groups: dict[bytes, list[tuple]] = {}
+        for r in sorted(rows, key=lambda r: r[:3]):
+            groups.setdefault(r[4][:GRAM], []).append(r)
+        for own in groups.values():
+            if len(own) > 1:
+                for (doc, dup, pos, _, _), found in zip(own, extents([(r[3], r[4][GRAM:]) for r in own], need)):
+                    if found:
+                        out.append((doc, dup, pos - found[0], pos + GRAM + found[1]))
 
     def flush(out: list[tuple]) -> pa.RecordBatch:
         cols = np.array(out, np.int64).reshape(-1, 4)
@@ -439,8 +451,9 @@ def cut(key: tuple, docs: pa.Table, packed: pa.Table) -> pa.Table:
 def _frequent(rows: DataFrame, n: int, length: int) -> np.ndarray:
     """Hashes of anchors with HOT_COUNT occurrences or more in a sample.
 
-    The sample has about HOT_DOCS documents, so that few anchors can be so
-    frequent; which ones are found has no influence on the result.
+    The sample grows with the corpus, so that an anchor with more than some
+    hundred thousand occurrences is found at any size; HOT_MOST of them come
+    to the driver at most. Which ones are found has no influence on the result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -449,8 +462,8 @@ def _frequent(rows: DataFrame, n: int, length: int) -> np.ndarray:
                 h, count = np.unique(anchors(x, doc, length)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(count)], names=["h", "n"])
 
-    sample = rows.where(F.pmod(F.xxhash64("doc", "dup"), F.lit(max(1, n // HOT_DOCS))) == 0)
-    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).select("h").collect()
+    sample = rows.where(F.pmod(F.xxhash64("doc", "dup"), F.lit(max(1, n // max(HOT_DOCS, n // HOT_SHARE)))) == 0)
+    found = sample.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_COUNT).orderBy(F.desc("n"), "h").limit(HOT_MOST).select("h").collect()
     return np.array([r["h"] for r in found], np.int64).view(np.uint64)
 
 
@@ -467,8 +480,9 @@ def remove(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     text's remaining bytes. Texts are whole UTF-8, a null one is empty, and
     strings never cross documents. Earlier means a smaller doc_id (null the
     least), or an earlier start; rows with the same doc_id are documents of
-    their own, in the order of their texts. An empty table gives no rows;
-    other columns are not read.
+    their own, in the order of their texts. A long text is gone through in
+    parts and taken whole. An empty table gives no rows; other columns are not
+    read.
     """
     source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("doc_id", F.lit(NULL_ID)).cast("long").alias("doc"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
     repeated = source.groupBy("doc").count().where("count > 1").limit(1).count()

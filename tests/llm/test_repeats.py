@@ -64,6 +64,42 @@ def test_matches_brute_force(spark, monkeypatch, seed, hot):
     assert got == brute(rows, 100)
 
 
+@pytest.mark.parametrize("hot", [40, 2])
+def test_edits_a_word_apart(spark, monkeypatch, hot):
+    """Two changed bytes, 8, 16 or 24 apart, in copies of which there are many."""
+    monkeypatch.setattr(repeats, "HOT_COUNT", hot)
+    r = random.Random(7)
+    base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz0123456789 ") for _ in range(300))
+    rows = [(0, base)]
+    for i in range(1, 240):
+        own, at = list(base), r.randrange(60, 200)
+        for p in (at, at + (8, 16, 24)[i % 3]):
+            own[p] = chr(r.randrange(33, 126))
+        rows.append((i, "".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted((tuple(x) for x in repeats.digests(repeats.remove(docs, 100)).collect()), key=str) == brute(rows, 100)
+
+
+def test_hashes_of_edits_differ():
+    """Grams that differ in the top bytes of two words."""
+    r = np.random.default_rng(5)
+    gram = r.integers(33, 126, repeats.GRAM, np.uint8)
+    rows = np.repeat(gram[None], 8464, 0)
+    a, b = np.meshgrid(np.arange(33, 125), np.arange(33, 125))
+    rows[:, 7], rows[:, 15] = a.ravel(), b.ravel()
+    hashes = {int(repeats._gram_hashes(x)[0]) for x in rows}
+    assert len(hashes) == len({x.tobytes() for x in rows})
+
+
+def test_very_long_texts(spark):
+    r = random.Random(4)
+    part = "".join(r.choice("abcdefgh ") for _ in range(150_000))
+    rows = [(1, part + part[:70_000]), (2, "z" * 130_000), (3, part[50_000:51_000] + "z" * 99)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x["doc_id"]: x for x in repeats.digests(repeats.remove(docs, 100)).collect()}
+    assert [got[i]["n_removed"] for i in (1, 2, 3)] == [70_000, 130_000 - 100 + 1 + 98, 1000] and [got[i]["n_spans"] for i in (1, 2, 3)] == [1, 1, 1]
+
+
 def test_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert repeats.digests(repeats.remove(docs)).collect() == []
