@@ -13,49 +13,74 @@ string, so a segment is what follows a candidate up to the next one.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomtide.llm.common import materialize, release
+from loomtide.llm.common import materialize, release, sieve
 
 MAGIC = "WARC/1.0\r\n"
 BREAK = "\r\n\r\n"
 #: Payloads from so many bytes on are stored once.
 REVISIT_BYTES = 1000
+#: What a revisit says of its kind.
+PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
+#: Characters that end a line somewhere or could be taken for the space around a value.
+_SPACES = "\t\n\x0b\x0c\r \x1c\x1d\x1e\x85\xa0\u2028\u2029"
 
 
 def _urn(page_id: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit(">"))
+    return F.concat(F.lit("<urn:page:"), F.coalesce(page_id.cast("string"), F.lit("")), F.lit(">"))
+
+
+def _uri(url: Column) -> Column:
+    """The url with its white space percent-encoded, so that it stays within its line."""
+    for c in _SPACES:
+        url = F.replace(url, F.lit(c), F.lit("".join(f"%{b:02X}" for b in c.encode())))
+    return url
 
 
 def _field(name: str, value: Column) -> Column:
-    """A header line, or nothing if the value is null; line ends can't occur in it."""
-    return F.coalesce(F.concat(F.lit(f"{name}: "), F.regexp_replace(value, r"[\r\n]+", " "), F.lit("\r\n")), F.lit(""))
+    """A header line, or nothing if the value is null."""
+    return F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
 
 
-def write(pages: DataFrame, path: str, min_revisit: int = REVISIT_BYTES) -> None:
+def write(pages: DataFrame, path: str, min_revisit: int = REVISIT_BYTES, date: str | None = None) -> None:
     """A record for each page, in archives under path.
 
     Of pages with equal payloads of min_revisit bytes or more, the one with
     the largest page_id (repeated rows with it too, null the least) holds the
     payload; the others are revisits of it. A null html is empty, a null url
-    or page_id has no header line.
+    has no header line, a null page_id an empty number in its record's; white
+    space in a url is percent-encoded. Repeated rows are records each, an empty
+    table gives archives without records, other columns are not read. date is
+    the time of all records (ISO 8601), now if it isn't given.
+
+    Payloads that surely don't repeat aren't moved: digests that do are told
+    apart from most others by a bounded set of bits, and only rows with such
+    a digest meet their keeper.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
     rows = pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html")
     ).select("*", F.octet_length("html").cast("long").alias("size"), F.sha1(F.col("html").cast("binary")).alias("digest"))
     large = rows.where(F.col("size") >= min_revisit)
     kept = large.groupBy("digest").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").select("digest", "keeper")
-    known = rows.join(kept, "digest", "left")
-    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper")) & (F.col("size") >= min_revisit)
+    kept = materialize(kept, "keepers", slim=True)
+    may_repeat = (F.col("size") >= min_revisit) & sieve(kept, "digest")("digest")
+    some = rows.where(may_repeat).join(kept, "digest", "left")
+    known = rows.where(~may_repeat).withColumn("keeper", F.lit(None).cast("long")).unionByName(some)
+    revisit = F.col("keeper").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper"))
     payload = F.when(revisit, F.lit("")).otherwise(F.col("html"))
     head = F.concat(
         F.lit(MAGIC),
         _field("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         _field("WARC-Record-ID", _urn(F.col("page_id"))),
-        _field("WARC-Target-URI", F.col("url")),
+        _field("WARC-Date", F.lit(date)),
+        _field("WARC-Target-URI", _uri(F.col("url"))),
         _field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
+        _field("WARC-Profile", F.when(revisit, F.lit(PROFILE))),
         _field("WARC-Refers-To", F.when(revisit, _urn(F.col("keeper")))),
         _field("WARC-Original-Length", F.when(revisit, F.col("size").cast("string"))),
         F.lit("Content-Type: text/html"), F.lit("\r\n"),
@@ -84,7 +109,8 @@ def _header(raw: Column) -> Column:
 
 
 def _get(header: Column, name: str) -> Column:
-    found = F.regexp_extract(header, rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
+    # (?d): of all characters that can end a line, only \n does.
+    found = F.regexp_extract(header, rf"(?imd)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1)
     return F.when(found != "", found)
 
 
@@ -126,7 +152,8 @@ def read(spark: SparkSession, path: str, of_payload: dict[str, Callable[[Column]
     its header, null where it has no such line. of_payload names the columns
     that are worked out from the binary payload where it is read, so that it
     isn't moved; the default is the payload itself. What no chain from the
-    start of a file reaches is no record.
+    start of a file reaches is no record; archives without records, and empty
+    files, give no rows. A very long payload is read whole.
     """
     of_payload = of_payload or {"payload": lambda c: c}
     values = [f(_payload()).alias(name) for name, f in of_payload.items()]
