@@ -4,11 +4,15 @@ Beside the patterns, every run of at least ``MIN_RUN`` characters that could
 be an encoded key gets an encoding (hexadecimal, base 32 or 36 in one case,
 base 62, base 64, or letters alone) and a battery of tests of the hypothesis that its symbols are drawn at random
 from that alphabet: chi-squared uniformity over equal cells, the number of
-runs about the middle symbol, and the correlation of neighbours. The least
-p-value times the number of tests is the run's own. Over the whole corpus, the
-Benjamini-Hochberg procedure finds the runs that aren't random; those that stay
-are reported. It cuts each class of lengths on its own: a longer run says more
-since its tests are sharper, so its p-value is taken as it is.
+runs about the middle symbol, and the correlation of neighbours. Symbols are in
+the order of their frequency in words, so that words and names fill few of the
+cells. The least p-value, corrected for the number of tests, is the run's own.
+
+Random runs have p-values that are spread evenly, others are crowded near 0. So
+the density near 1 over the whole corpus tells how many random runs there are,
+and what goes beyond it at smaller values is false. In each class of lengths,
+whose tests are equally sharp, the cut is the smallest p-value beyond which at
+most a share of ``FDR`` of what is reported is false.
 """
 
 from __future__ import annotations
@@ -18,9 +22,11 @@ import math
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,10 +34,16 @@ from loomtide.llm.common import small_batches
 
 KINDS = ("assign", "access", "hex", "random")
 MIN_RUN = 20
-#: Share of false rejections of randomness that is accepted.
+#: Share of runs that aren't random among those reported that is accepted.
 FDR = 0.05
 #: p-values are counted in cells of a quarter of a power of two, down to 2^-128.
 CELLS, PER_OCTAVE = 513, 4
+#: Cells up to which the density of random runs is taken, the last cell that can
+#: be reported (p over 0.01), and the runs that a cut is made from at least, those
+#: of neighbouring classes of lengths included, if there are as many.
+TOPS, LAST, LEAST_RUNS = (1, 4), 26, 200
+#: Random runs that are made to see how their p-values are spread.
+MADE = 3000
 #: Classes of lengths, each of twice the length of the one before; the last is open.
 CLASSES = 9
 
@@ -43,15 +55,16 @@ _HEX = re.compile(r"[0-9a-f]+")
 _UPPER, _LOWER, _DIGIT = re.compile("[A-Z]"), re.compile("[a-z]"), re.compile("[0-9]")
 #: Pieces of a run between "=", the padding at its end included, and between signs.
 _PIECE, _WORD = re.compile(r"[^=]+(?:=+\Z)?"), re.compile("[A-Za-z0-9]{20,}")
-#: Letters alone are in the order of their frequency, which tells words best.
+#: Letters from the most to the least frequent.
+_LETTERS = "etaoinshrdlcumwfgypbvkjxqz"
 _ALPHABETS = {
     "hex": "0123456789abcdef",
-    "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
-    "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
-    "letters": "ETAOINSHRDLCUMWFGYPBVKJXQZ",
-    "base52": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-    "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+    "base32": _LETTERS + "234567",
+    "base36": _LETTERS + "0123456789",
+    "letters": _LETTERS,
+    "base52": _LETTERS + _LETTERS.upper(),
+    "base62": _LETTERS + _LETTERS.upper() + "0123456789",
+    "base64": _LETTERS + _LETTERS.upper() + "0123456789+/",
 }
 _INDEX = {name: {c: i for i, c in enumerate(a)} for name, a in _ALPHABETS.items()}
 _INDEX["base64"] |= {"-": 62, "_": 63}
@@ -86,7 +99,7 @@ def encoding(run: str) -> str | None:
             return "hex"
         if not digit:
             return "letters"
-        return "base32" if all(c in _INDEX["base32"] for c in body.upper()) else "base36"
+        return "base32" if all(c in _INDEX["base32"] for c in body.lower()) else "base36"
     if not body.isalnum():
         return "base64"
     return "base62" if digit else "base52"
@@ -95,7 +108,7 @@ def encoding(run: str) -> str | None:
 def _symbols(run: str, kind: str) -> str:
     """The run without padding, in the case of its alphabet."""
     body = run.rstrip("=")
-    return body.lower() if kind == "hex" else body.upper() if kind in ("base32", "base36", "letters") else body
+    return body.lower() if kind in ("hex", "base32", "base36", "letters") else body
 
 
 def _chi2_tail(x: float, df: int) -> float:
@@ -138,7 +151,7 @@ def p_value(run: str, kind: str) -> float:
     d = x - x.mean()
     power = float((d * d).sum())
     tests.append(_normal_tails((float((d[1:] * d[:-1]).sum()) / power + 1 / n) * math.sqrt(n)) if power else 0.0)
-    return min(1.0, len(tests) * min(tests))
+    return 1 - (1 - min(1.0, *tests)) ** len(tests)
 
 
 def _pieces(text: str, base: list[Span]) -> Iterator[tuple[int, int]]:
@@ -184,36 +197,85 @@ def _cell(p: float) -> int:
     return CELLS - 1 if p <= 0 else min(CELLS - 1, int(-math.log2(p) * PER_OCTAVE))
 
 
+@lru_cache(maxsize=1)
+def reference() -> np.ndarray:
+    """The share of random runs in the cells before each, measured on MADE of them.
+
+    The tests' p-values are nearly, but not quite, spread evenly: runs are short
+    and the least of several p-values is taken.
+    """
+    random = np.random.default_rng(17)
+    cells = np.zeros(CELLS, np.int64)
+    for i in range(MADE):
+        kind = ("base62", "base64")[i % 2]
+        symbols = np.array(list(_ALPHABETS[kind]))
+        cells[_cell(p_value("".join(symbols[random.integers(0, len(symbols), int(random.integers(MIN_RUN, 4 * MIN_RUN)))]), kind))] += 1
+    return np.concatenate([[0], np.cumsum(cells)]) / MADE
+
+
+def cut(counts: np.ndarray, fdr: float = FDR) -> int:
+    """Number of runs in each cell of p-values -> the first cell that isn't reported.
+
+    If the cells up to TOPS hold random runs alone, they tell how many of these
+    the others have; what they have beyond that is false. Cells are added as
+    long as the false ones, less one, are few enough by the wider of the TOPS,
+    and not surely too many by the narrower, which has few runs to go by.
+    """
+    random = reference()
+    reported = np.concatenate([[0], np.cumsum(counts)])
+    best = TOPS[-1]
+    for k in range(TOPS[-1], LAST + 1):
+        fine = True
+        for top in TOPS:
+            share = random[k] / random[top] - 1
+            false = reported[k] - reported[top] * (1 + share)
+            chance = 1.0 if top == TOPS[-1] else 1 + math.sqrt(reported[k] - reported[top] + reported[top] * share * share)
+            fine &= false - chance <= fdr * reported[k]
+        best = k if fine else best
+    return best
+
+
+def cuts(counts: np.ndarray, fdr: float = FDR) -> list[int]:
+    """A row of counts for each class of lengths -> its cut.
+
+    A class with few runs is judged with its neighbours, as many as it takes.
+    """
+    out = []
+    for c in range(len(counts)):
+        wide = 0
+        while wide < len(counts) and counts[max(0, c - wide) : c + wide + 1, :LAST].sum() < LEAST_RUNS:
+            wide += 1
+        out.append(cut(counts[max(0, c - wide) : c + wide + 1].sum(0), fdr))
+    return out
+
+
 def threshold(docs: DataFrame, fdr: float = FDR) -> list[int]:
-    """The first cell of p-values that isn't random any more, for each class of
-    lengths, over all documents.
+    """The first cell of p-values that isn't reported any more, for each class
+    of lengths, over all documents.
 
-    Only the counts of the CELLS cells of each class come to the driver.
+    A run counts once, however often it occurs. Only the counts of the CELLS
+    cells of each class come to the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CLASSES, CELLS), np.int64)
         for b in batches:
+            seen: dict[int, tuple[int, int]] = {}
             for value in b.column(0):
                 raw = value.as_py()
                 if raw and len(raw) >= MIN_RUN:
                     text = raw.decode("utf-8", "replace")
                     if _RUN.search(text):
                         for a, e, p in candidates(text, base_spans(text, raw)):
-                            total[_class(e - a), _cell(p)] += 1
-        at = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x.astype(np.int32)) for x in at), pa.array(total[at])], names=["class", "cell", "n"])
-
-    cells = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class int, cell int, n long").groupBy("class", "cell").agg(F.sum("n").alias("n")).collect()
-    out = [CELLS] * CLASSES
-    for c in range(CLASSES):
-        own = sorted((r for r in cells if r["class"] == c), key=lambda r: -r["cell"])
-        m, seen = sum(r["n"] for r in own), 0
-        for r in own:
-            seen += r["n"]
-            if 2.0 ** (-r["cell"] / PER_OCTAVE) <= fdr * seen / m:
-                out[c] = r["cell"]
-    return out
+                            seen[xxhash.xxh3_64_intdigest(text[a:e]) >> 1] = (_class(e - a), _cell(p))
+            cols = np.array([(c, k, h) for h, (c, k) in seen.items()], np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([pa.array(cols[:, 0].astype(np.int32)), pa.array(cols[:, 1].astype(np.int32)), pa.array(cols[:, 2])], names=["class", "cell", "run"])
+
+    found = small_batches(docs).select(F.col("text").cast("binary").alias("text")).mapInArrow(run, "class int, cell int, run long")
+    cells = found.distinct().groupBy("class", "cell").agg(F.count("*").alias("n")).collect()
+    counts = np.zeros((CLASSES, CELLS), np.int64)
+    for r in cells:
+        counts[r["class"], r["cell"]] = r["n"]
+    return cuts(counts, fdr)
 
 
 def spans_of(text: str, raw: bytes, first_cells: list[int]) -> tuple[list[Span], list[Span]]:
@@ -232,9 +294,11 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 
     spans lists kind:start:end by start, then kind, in code points, the end
     exclusive; base_sha256 is the SHA-256 of that list without the spans that
-    the test battery adds. A null text is empty and has no spans; repeated
-    rows give repeated rows, an empty table none. Only doc_id and text are
-    read. The corpus is read twice: for the threshold, then for the spans.
+    the test battery adds. A null text is empty and has no spans; a long one
+    is scanned whole; spans that start together are in the order of kinds;
+    repeated rows give repeated rows, an empty table none. Only doc_id and
+    text are read. The corpus is read twice: for the threshold, then for the
+    spans.
     """
     first_cells = threshold(docs, fdr)
 
@@ -257,7 +321,9 @@ def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[REDACTED]", fdr: float = FDR) -> DataFrame:
     """documents with every span replaced by mark; n_chars follows the text.
 
-    A document without secrets stays as it is, a null text stays null.
+    A document without secrets stays as it is, a null text stays null, a long
+    one is gone through whole; spans that overlap are one. Repeated rows stay
+    repeated, an empty table gives no rows, and other columns stay as they are.
     """
     first_cells = threshold(docs, fdr)
     at = docs.columns.index("text")
