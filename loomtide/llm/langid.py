@@ -5,9 +5,12 @@ substrings. A text is cut into phrases, each the longest match from where the
 last one ended; a language that needs c phrases for n symbols, learned from N,
 has a cross entropy of c * log2(N) / n bits a symbol. The least one wins.
 
-Symbols are letters in lower case, and one space for anything else. A text is
-parsed in blocks of ``BLOCK`` symbols, all blocks of a batch side by side: a
-step of numpy moves each of them by a symbol.
+Symbols are letters in lower case, and one space for anything else. A symbol
+that a language never saw is a phrase of its own. A text is parsed in blocks of
+``BLOCK`` symbols, all blocks of a batch side by side: a step of numpy moves
+each of them by a symbol. The state in which a block begins is guessed from the
+``WARM`` symbols before it; blocks for which the one before ends in another
+state are parsed again, so phrases go on over the ends of blocks.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from pyspark.sql import functions as F
 
 from loomtide.llm.common import small_batches
 
-#: The labelled sample: so many documents a language, so many characters of each,
-#: and the pieces, spread over the whole of a longer text, that they come in.
+#: Defaults of the labelled sample: so many documents a language, so many letters
+#: of each, and the pieces, spread over the whole of a longer text, they come in.
 SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 80, 250, 5
-#: Symbols in a block, and in what is parsed at once.
-BLOCK, CHUNK = 256, 1 << 19
+#: Symbols in a block, before a block, and in what is parsed at once.
+BLOCK, WARM, CHUNK = 256, 48, 1 << 19
 UNKNOWN = "und"
 
 
@@ -37,29 +40,29 @@ def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def _spread(text: F.Column) -> F.Column:
+def _spread(text: F.Column, chars: int) -> F.Column:
     """Pieces of the letters of a text, from its beginning to its end."""
     letters = F.trim(F.regexp_replace(text, r"[^\p{L}\p{M}]+", " "))
-    size, n = SAMPLE_CHARS // PIECES, F.length(letters)
+    size, n = max(1, chars // PIECES), F.length(letters)
     pieces = [F.substring(letters, F.floor((n - size) * i / (PIECES - 1)).cast("int") + 1, F.lit(size)) for i in range(PIECES)]
-    return F.when(n <= SAMPLE_CHARS, letters).otherwise(F.concat_ws("\n", *pieces))
+    return F.when(n <= chars, letters).otherwise(F.concat_ws("\n", *pieces))
 
 
-def sample(docs: DataFrame) -> dict[str, str]:
+def sample(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> dict[str, str]:
     """{lang: learned text} of a bounded sample of the rows that aren't held out.
 
-    The documents are those with the least hash. The hashes alone tell which
-    they are; a second pass reads their texts.
+    The documents are those with the least hash of doc_id and text. The hashes
+    alone tell which they are; a second pass reads their texts.
     """
     labelled = small_batches(docs).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
-        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64("doc_id", "n_chars" if "n_chars" in docs.columns else "doc_id").alias("at")
+        F.col("lang").cast("string").alias("lang"), "text", F.xxhash64(F.col("doc_id").cast("string"), F.col("text").cast("binary")).alias("at")
     ).where(F.col("text").rlike(r"\p{L}"))
 
     def least(rows: DataFrame, *by: str) -> DataFrame:
-        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= SAMPLE_DOCS)
+        return rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*by))).where(F.col("rank") <= sample_docs)
 
     last = least(labelled.select("lang", "at"), "at").groupBy("lang").agg(F.max("at").alias("last"))
-    some = labelled.join(F.broadcast(last), "lang").where("at <= last").select("lang", "at", _spread(F.col("text")).alias("text"))
+    some = labelled.join(F.broadcast(last), "lang").where("at <= last").select("lang", "at", _spread(F.col("text"), sample_chars).alias("text"))
     rows = least(some, "at", "text").collect()
     out: dict[str, list] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["rank"])):
@@ -119,47 +122,101 @@ def automaton(x: list[int]) -> list[dict[int, int]]:
     return go
 
 
+class Table:
+    """A suffix automaton whose rows of transitions are laid over each other.
+
+    State s goes with class c to next[base[s] + c] if that place is its own.
+    Places are found by trying random bases for all states at once; so the
+    size is a few places a transition, whatever the number of classes.
+    """
+
+    def __init__(self, go: list[dict[int, int]], width: int):
+        src = np.repeat(np.arange(len(go), dtype=np.int32), [len(step) for step in go])
+        sym = np.array([c for step in go for c in step], np.int32)
+        to = np.array([t for step in go for t in step.values()], np.int32)
+        degree = np.bincount(src, minlength=len(go))
+        size = max(1024, 3 * len(src))
+        random = np.random.default_rng(1)
+        self.base = np.zeros(len(go), np.int32)
+        self.next, self.own = np.zeros(size + width, np.int32), np.full(size + width, -1, np.int32)
+        while len(src):
+            self.base[np.unique(src)] = random.integers(0, size, len(np.unique(src)))
+            at = self.base[src] + sym
+            order = np.lexsort((src, -degree[src], at))
+            good = self.own[at] < 0
+            good[order[1:]] &= at[order[1:]] != at[order[:-1]]
+            bad = np.zeros(len(go), bool)
+            bad[src[~good]] = True
+            done = ~bad[src]
+            self.next[at[done]], self.own[at[done]] = to[done], src[done]
+            src, sym, to = src[~done], sym[~done], to[~done]
+        self.first, self.unseen = np.zeros(width, np.int32), np.ones(width, np.int32)
+        for c, t in go[0].items():
+            self.first[c], self.unseen[c] = t, 0
+
+    def run(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(phrases that end in each block, state at its end), from its state at the beginning."""
+        count, state = np.zeros(len(sizes), np.int64), begin.astype(np.int32)
+        lanes = CHUNK // BLOCK
+        for lo in range(0, len(sizes), lanes):
+            part = np.arange(lo, min(len(sizes), lo + lanes))
+            order = part[np.argsort(-sizes[part], kind="stable")]
+            steps = int(sizes[order[0]])
+            alive = np.searchsorted(-sizes[order], -np.arange(steps), "left")
+            at, s, n = starts[order], state[order], np.zeros(len(order), np.int64)
+            for t in range(steps):
+                k = alive[t]
+                c, now = codes[at[:k] + t], s[:k]
+                place = self.base[now] + c
+                miss = np.flatnonzero(self.own[place] != now)
+                unknown = c[miss]
+                n[miss] += (now[miss] > 0) + self.unseen[unknown]
+                s[:k] = self.next[place]
+                s[miss] = self.first[unknown]
+            count[order], state[order] = n, s
+        return count, state
+
+
 class Parser:
-    """The automata of all languages over one alphabet, as dense tables."""
+    """The automata of all languages, each over the symbols that it has learned."""
 
     def __init__(self, texts: tuple[tuple[str, str], ...]):
         learned = {lang: _symbols(text) for lang, text in texts}
         self.langs = sorted(learned)
         known = np.unique(np.concatenate([*learned.values(), np.array([32], np.uint32)]))
-        # Class 0 is any character that no sample holds.
+        # Class 0 is any symbol that no sample, or not this language's, holds.
         self.classes = np.zeros(0x110000, np.uint16)
         self.classes[known] = np.arange(1, len(known) + 1)
-        self.width = len(known) + 1
-        self.tables, self.bits = [], []
+        self.tables, self.own, self.bits = [], [], []
         for lang in self.langs:
-            go = automaton(self.classes[learned[lang]].tolist())
-            # State 0 stands for "no match", so all states move up by one.
-            table = np.zeros((len(go) + 1, self.width), np.int32)
-            for s, step in enumerate(go):
-                for c, to in step.items():
-                    table[s + 1, c] = to + 1
-            self.tables.append(table)
-            self.bits.append(np.log2(len(learned[lang]) + 2))
-
-    def phrases(self, x: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Phrases of each block (from starts, of sizes) for each language."""
-        order = np.argsort(-sizes, kind="stable")
-        steps = int(sizes.max(initial=0))
-        at = np.minimum(starts[order][None, :] + np.arange(steps)[:, None], max(0, len(x) - 1))
-        codes = self.classes[x].astype(np.int32)[at]
-        alive = np.searchsorted(-sizes[order], -np.arange(steps), "left")
-        out = np.zeros((len(self.langs), len(sizes)))
-        for k, table in enumerate(self.tables):
-            flat, first = table.ravel(), np.maximum(table[1], 1)
-            state, count = np.ones(len(sizes), np.int32), np.zeros(len(sizes), np.int32)
-            for t in range(steps):
-                n = alive[t]
-                c = codes[t, :n]
-                to = flat[state[:n] * np.int32(self.width) + c]
-                miss = to == 0
-                count[:n] += miss
-                state[:n] = np.where(miss, first[c], to)
-            out[k, order] = count + (state > 1)
+            x = self.classes[learned[lang]]
+            seen = np.unique(x)
+            own = np.zeros(len(known) + 1, np.int32)
+            own[seen] = np.arange(1, len(seen) + 1)
+            self.own.append(own)
+            self.tables.append(Table(automaton(own[x].tolist()), len(seen) + 1))
+            self.bits.append(np.log2(len(x) + 2))
+
+    def phrases(self, x: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Phrases of each text, for each language; texts are joined and none is empty."""
+        begin = np.concatenate([[0], ends[:-1]])
+        blocks = [np.arange(a, b, BLOCK) for a, b in zip(begin, ends)]
+        starts = np.concatenate(blocks)
+        doc = np.repeat(np.arange(len(ends)), [len(b) for b in blocks])
+        sizes = np.minimum(starts + BLOCK, ends[doc]) - starts
+        later = np.flatnonzero(starts > begin[doc])
+        last = np.append(doc[1:] != doc[:-1], True)
+        known = self.classes[x]
+        out = np.zeros((len(self.langs), len(ends)))
+        for k, (table, own) in enumerate(zip(self.tables, self.own)):
+            codes = own[known]
+            guess = np.zeros(len(starts), np.int32)
+            guess[later] = table.run(codes, starts[later] - WARM, np.full(len(later), WARM), guess[later])[1]
+            count, state = table.run(codes, starts, sizes, guess)
+            while len(wrong := later[guess[later] != state[later - 1]]):
+                guess[wrong] = state[wrong - 1]
+                count[wrong], state[wrong] = table.run(codes, starts[wrong], sizes[wrong], guess[wrong])
+            out[k] = np.bincount(doc, count + (last & (state > 0)), len(ends))
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -181,20 +238,8 @@ class Parser:
 
     def _group(self, texts: list[str]) -> Iterator[tuple[str, float]]:
         own = [_symbols(t) for t in texts]
-        total = np.zeros((len(self.langs), len(own)))
-        x = np.concatenate(own)
-        begin = np.concatenate([[0], np.cumsum([len(o) for o in own])])
-        blocks = [np.arange(a, b, BLOCK) for a, b in zip(begin, begin[1:])]
-        starts = np.concatenate(blocks)
-        doc = np.repeat(np.arange(len(own)), [len(b) for b in blocks])
-        sizes = np.minimum(starts + BLOCK, begin[doc + 1]) - starts
-        for lo in range(0, len(starts), CHUNK // BLOCK):
-            part = slice(lo, lo + CHUNK // BLOCK)
-            a = starts[part]
-            counts = self.phrases(x[a[0] : a[-1] + BLOCK], a - a[0], sizes[part])
-            for k in range(len(self.langs)):
-                total[k] += np.bincount(doc[part], counts[k], len(own))
-        total *= np.array(self.bits)[:, None] / np.diff(begin)
+        ends = np.cumsum([len(o) for o in own])
+        total = self.phrases(np.concatenate(own), ends) * np.array(self.bits)[:, None] / np.diff(ends, prepend=0)
         best = total.argmin(0)
         for j, k in enumerate(best):
             rest = np.delete(total[:, j], k)
@@ -219,19 +264,19 @@ def predictor(learned: dict[str, str]):
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
     """documents -> doc_id, held_out, lang_pred, score.
 
     Learned from the text and lang of rows that aren't held out, in a sample
-    of SAMPLE_DOCS documents a language, of each all letters or, of more than
-    SAMPLE_CHARS, as many in PIECES pieces spread over the whole text;
-    predicted from the text alone. A null
-    text or one without a letter is `und` with score 0, as is any if nothing
-    could be learned. The score is 1 - best / second-best entropy. Ties go to
-    the language that sorts first; repeated rows give repeated rows, an empty
+    of sample_docs documents a language, of each all letters or, of more than
+    sample_chars, as many in PIECES pieces spread over the whole text;
+    predicted from the text alone, all of it, however long. A null text or one
+    without a letter is `und` with score 0, as is any if nothing could be
+    learned. The score is 1 - best / second-best entropy. Ties go to the
+    language that sorts first; repeated rows give repeated rows, an empty
     table none; other columns are not read.
     """
-    run = predictor(sample(docs))
+    run = predictor(sample(docs, sample_docs, sample_chars))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in run(batches):
@@ -241,11 +286,17 @@ def identify(docs: DataFrame) -> DataFrame:
     return source.mapInArrow(short, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def label(docs: DataFrame) -> DataFrame:
-    """documents without those in no language, lang being the predicted one."""
+def label(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> DataFrame:
+    """documents without those in no language, lang being the predicted one.
+
+    It predicts as identify() does, and what is `und` there goes: a null or
+    empty text, one without a letter, all if nothing could be learned. Ties
+    and long texts are as there; repeated rows stay repeated, an empty table
+    gives no rows, and all other columns, nulls included, stay as they are.
+    """
     names = docs.columns
     at = {c: i for i, c in enumerate(names)}
-    run = predictor(sample(docs))
+    run = predictor(sample(docs, sample_docs, sample_chars))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
