@@ -10,6 +10,7 @@ last. The pieces then take the places of their length by rank.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -25,6 +26,8 @@ from loomtide.llm.common import materialize, small_batches
 #: Pieces of one length are ranked in groups of about so many rows, or of one
 #: in RANK_GROUPS of all pieces if that is more.
 RANK_ROWS, RANK_GROUPS = 1000, 2000
+#: Runs of white space, or of anything, that the ranks' matcher has no stack for.
+_RUN = re.compile(r"\s{1000}|\S{20000}")
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -34,7 +37,8 @@ def _encoder(path: str, ranks: str | None):
 
     ranks names a file of the same vocabulary as tiktoken ranks; it gives the
     same ids several times as fast. Texts that hold one of the tokenizer's
-    special strings go to the tokenizer itself, which has its own rule there.
+    special strings, which has its own rule there, or a long run without or of
+    white space go to the tokenizer itself.
     """
     from tokenizers import Tokenizer
 
@@ -56,7 +60,7 @@ def _encoder(path: str, ranks: str | None):
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def by_ranks(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or _RUN.search(text):
             return by_tokenizer(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
@@ -169,9 +173,11 @@ def pack(docs: DataFrame, tokenizer: str, ranks: str | None = None, capacity: in
 
     doc_id, piece (from 0), start (the document's ids before it), length,
     ids_crc32 (of the ids as little-endian 32-bit words), sequence_id, offset.
-    A null text is empty, so its piece is end_id alone; an empty table gives
-    no rows; repeated rows and a null doc_id are packed like any other. Only
-    doc_id and text are read.
+    A null text is empty, so its piece is end_id alone; a long one is taken
+    whole, long runs of one character included; an empty table gives no rows;
+    repeated rows and a null doc_id are packed like any other. Which of equal
+    lengths goes where is decided by doc_id, piece and ids. Only doc_id and
+    text are read.
     """
     cut = materialize(pieces(docs, tokenizer, ranks, capacity, end_id), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most

@@ -130,22 +130,42 @@ def test_language_id(spark, sf):
     assert kept.columns == docs.columns and kept.count() == docs.where(F.col("text").rlike(r"\p{L}")).count()
 
 
-def test_phrases_are_greedy_longest_matches():
-    learned = {"a": prose(60), "b": "zyx " + prose(50)}
+@pytest.mark.parametrize("block,warm", [(256, 48), (16, 3), (5, 1)])
+def test_phrases_are_greedy_longest_matches(monkeypatch, block, warm):
+    """Exactly, symbols that a language or no language saw included, over any blocks."""
+    monkeypatch.setattr(langid, "BLOCK", block)
+    monkeypatch.setattr(langid, "WARM", warm)
+    learned = {"a": prose(60), "b": "zyx é " + prose(50), "c": "日本語 テキスト " * 4}
     parser = langid.Parser(tuple(sorted(learned.items())))
-    for text in (prose(40), "qqqq éé " + prose(5), "z"):
-        x = langid._symbols(text)
-        got = parser.phrases(x, np.array([0]), np.array([len(x)]))[:, 0]
-        for k, lang in enumerate(parser.langs):
-            known = "".join(map(chr, langid._symbols(learned[lang])))
+    texts = [prose(40), "qqqq éé " + prose(5), "z", "the é the é the", "日本 x " * 30, prose(300), "ж", " ".join(learned["b"].split()[5:30])]
+    symbols = [langid._symbols(t) for t in texts]
+    got = parser.phrases(np.concatenate(symbols), np.cumsum([len(x) for x in symbols]))
+    for k, lang in enumerate(parser.langs):
+        known = "".join(map(chr, langid._symbols(learned[lang])))
+        for j, x in enumerate(symbols):
             t, count, at = "".join(map(chr, x)), 0, 0
             while at < len(t):
                 n = 1
                 while at + n < len(t) and t[at : at + n + 1] in known:
                     n += 1
                 count, at = count + 1, at + n
-            # A character that no sample holds ends a phrase without starting one.
-            assert abs(got[k] - count) <= sum(c not in known for c in t)
+            assert got[k][j] == count
+
+
+def test_languages_of_many_symbols_need_little_memory():
+    """Thousands of symbols, as Chinese has, don't multiply the states."""
+    r = random.Random(8)
+    text = "".join(chr(0x4E00 + r.randrange(4000)) for _ in range(15_000))
+    table = langid.Parser((("zh", text),)).tables[0]
+    assert table.next.nbytes + table.own.nbytes + table.base.nbytes < 2_000_000
+
+
+def test_clashing_columns_change_no_prediction(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    odd = docs.withColumn("n_chars", F.create_map(F.lit("a"), F.col("doc_id"))).withColumn("score", F.lit("x")).withColumn("at", F.lit(1)).withColumn("rank", F.lit(2))
+    assert sorted(map(tuple, langid.identify(odd).collect())) == sorted(map(tuple, langid.identify(docs.drop("n_chars")).collect()))
+    few = langid.sample(docs, sample_docs=3, sample_chars=40)
+    assert all(len(t) <= 3 * (40 + langid.PIECES) for t in few.values())
 
 
 def pack_args():
@@ -184,6 +204,16 @@ def test_fast_ids_equal_the_tokenizers():
         assert fast(text).tolist() == slow.encode(text, add_special_tokens=False).ids
 
 
+def test_long_runs(spark):
+    """A million spaces, tabs, newlines or letters have ids too."""
+    runs = [" " * 1_000_000, "\t" * 1_000_000, "\n" * 1_000_000, "a " + "\u3000" * 300_000 + " b", " \n" * 300_000, "x" * 200_000, "7" * 100_000, "!" * 200_000, "é" * 100_000]
+    slow = Tokenizer.from_file(pack_args()[0])
+    got = {}
+    for r in packing.pack(docs_of(spark, list(enumerate(runs))), *pack_args()).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == {i: len(slow.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(runs)}
+
+
 def test_best_two_fit_plan():
     # Greedy takes 7 and 2; the gap of 1 is better filled by 1 and 2 in the place of the 2.
     assert packing.plan({7: 1, 2: 2, 1: 1}, 10)[0] == (1, {7: 1, 2: 1, 1: 1})
