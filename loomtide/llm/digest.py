@@ -2,10 +2,13 @@
 
 Every window of ``WINDOW`` bytes has an entropy; the rarer its value is in the
 corpus, the better the window tells a text from others. In each stretch of as
-many windows the rarest (leftmost) one scores a point, and windows of
-``POPULAR`` points or more are the text's features. They go into a chain of
-Bloom filters, and two texts are as alike as their filters' bits overlap,
-beyond what chance would give.
+many windows, those that reach over the ends of the text included, the rarest
+(leftmost) one scores a point, and windows of ``POPULAR`` points or more are
+the text's features. The rarest window of a text is in as many stretches as a
+window has bytes, so every text has a feature; a text shorter than a window is
+one window, filled up with zeros. Features go into a chain of Bloom filters,
+and two texts are as alike as their filters' bits overlap, beyond what chance
+would give.
 """
 
 from __future__ import annotations
@@ -23,8 +26,6 @@ from pyspark.sql import functions as F
 from loomtide.llm.common import small_batches
 
 WINDOW, POPULAR = 64, 16
-#: Texts under SHORT bytes, or without a feature, use every window of GRAM bytes.
-SHORT, GRAM = 256, 16
 #: Bits and features of a filter, and bits set by a feature.
 FILTER_BITS, FILTER_FEATURES, PROBES = 2048, 160, 5
 #: Share of the range from chance to full overlap that counts as nothing.
@@ -33,8 +34,11 @@ CUTOFF = 0.3
 LEVELS = 1000
 #: Bytes worked on at once.
 CHUNK = 1 << 20
-#: Documents in a bucket of neighbours, unless there would be more buckets than this.
-BUCKET_DOCS, MAX_BUCKETS = 1000, 20_000
+#: Documents in a bucket of neighbours, unless there would be more buckets than a
+#: sample of about so many places tells apart, and the places for a bucket.
+BUCKET_DOCS, SAMPLE_PLACES, PER_BUCKET = 1000, 1 << 20, 16
+#: Pairs of filters that are compared at once.
+PAIRS = 1 << 16
 
 # c log2 c in whole numbers, so that sums don't depend on what stands before.
 _SCALE = 1 << 16
@@ -124,47 +128,45 @@ def _hash_rows(rows: np.ndarray, seed: int = 0) -> np.ndarray:
     return h
 
 
+def _points(levels: np.ndarray, first: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """How many stretches each window is the rarest of; first marks a text's first window.
+
+    Stretches reach over the ends of their text: texts are set apart by as many
+    windows that never win.
+    """
+    gap, text = WINDOW - 1, np.cumsum(first)
+    at = np.arange(len(levels)) + text * gap
+    never = np.uint64(len(ranks))
+    place = np.full(len(levels) + (int(text[-1]) + 1) * gap, never << np.uint64(32), np.uint64)
+    place[at] = ranks[levels].astype(np.uint64) << np.uint64(32)
+    points = np.zeros(len(place), np.int32)
+    for lo in range(0, len(place) - gap, 2 * CHUNK):
+        part = place[lo : lo + 2 * CHUNK + gap]
+        least = part | np.arange(len(part), dtype=np.uint64)
+        for s in (1, 2, 4, 8, 16, 32):
+            least = np.minimum(least[:-s], least[s:])
+        points[lo : lo + len(part)] += np.bincount((least & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(part)).astype(np.int32)
+    return points[at]
+
+
 def features(texts: list[bytes], ranks: np.ndarray) -> list[np.ndarray]:
-    """Hashes of each text's features, in the order of their places."""
+    """Hashes of each text's features, in the order of their places; an empty text has none."""
     out: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(texts)
-    for own, x, starts in _chunks(texts):
+    for own, x, starts in _chunks([t.ljust(WINDOW, b"\0") if t else t for t in texts]):
         levels = entropy_levels(x)
-        n = len(levels)
-        if n >= WINDOW:
-            doc = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(starts))
-            points = np.zeros(n, np.int32)
-            runs = n - WINDOW + 1
-            for lo in range(0, runs, 2 * CHUNK):
-                hi = min(runs, lo + 2 * CHUNK)
-                part = levels[lo : hi + WINDOW - 1]
-                least = (ranks[part].astype(np.uint64) << np.uint64(32)) | np.arange(len(part), dtype=np.uint64)
-                for s in (1, 2, 4, 8, 16, 32):
-                    least = np.minimum(least[:-s], least[s:])
-                whole = doc[lo:hi] == doc[lo + 2 * WINDOW - 2 : hi + 2 * WINDOW - 2]
-                points[lo : hi + WINDOW - 1] += np.bincount((least[whole] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=len(part)).astype(np.int32)
-            at = np.flatnonzero(points >= POPULAR)
-            at = at[levels[at] > 0]
-            if len(at):
-                hashes = _hash_rows(x[at[:, None] + np.arange(WINDOW)])
-                cuts = np.searchsorted(at, starts)
-                for k, i in enumerate(own):
-                    out[i] = hashes[cuts[k] : cuts[k + 1]]
-        for i in own:
-            t = texts[i]
-            if t and (len(t) < SHORT or not len(out[i])):
-                out[i] = _short(t)
+        doc = np.repeat(np.arange(len(own), dtype=np.int32), np.diff(starts))
+        inside = np.flatnonzero(doc[: len(levels)] == doc[WINDOW - 1 :])
+        if not len(inside):
+            continue
+        points = _points(levels[inside], np.diff(doc[inside], prepend=-1) > 0, ranks)
+        at = inside[points >= POPULAR]
+        hashes = _hash_rows(x[at[:, None] + np.arange(WINDOW)])
+        cuts = np.searchsorted(at, starts)
+        for k, i in enumerate(own):
+            out[i] = hashes[cuts[k] : cuts[k + 1]]
     return out
 
 
-def _short(text: bytes) -> np.ndarray:
-    if len(text) < GRAM:
-        return _hash_rows(np.frombuffer(text.ljust(GRAM, b"\0") + len(text).to_bytes(8, "little"), np.uint8).reshape(1, -1))
-    x = np.frombuffer(text, np.uint8)
-    parts = [_hash_rows(np.lib.stride_tricks.sliding_window_view(x[a : a + CHUNK + GRAM - 1], GRAM)) for a in range(0, len(x) - GRAM + 1, CHUNK)]
-    hashes = np.concatenate(parts)
-    return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
-
-
 class Filters:
     """The chained Bloom filters of a text."""
 
@@ -196,16 +198,25 @@ def likeness(a: Filters, b: Filters) -> float:
     if len(a.counts) > len(b.counts):
         a, b = b, a
     stay = 1 - 1 / FILTER_BITS
-    n, m = a.counts[:, None] * PROBES, b.counts[None, :] * PROBES
-    both = np.bitwise_count(a.words[:, None, :] & b.words[None, :, :]).sum(2, dtype=np.int64)
-    most = np.minimum(a.ones[:, None], b.ones[None, :])
-    chance = FILTER_BITS * (1 - stay**n - stay**m + stay ** (n + m))
-    floor = chance + CUTOFF * (most - chance)
-    score = np.where(most > floor, np.clip((both - floor) / np.maximum(1e-9, most - floor), 0, 1), both == most)
-    one = float((score.max(1) * a.counts).sum() / a.counts.sum())
+    # Long chains are gone through in parts, so that no table of all pairs is held.
+    best_a, best_b = np.zeros(len(a.counts)), np.zeros(len(b.counts))
+    wide = min(len(b.counts), PAIRS)
+    for i in range(0, len(a.counts), PAIRS // wide):
+        own = slice(i, i + PAIRS // wide)
+        for j in range(0, len(b.counts), wide):
+            other = slice(j, j + wide)
+            n, m = a.counts[own, None] * PROBES, b.counts[None, other] * PROBES
+            both = np.bitwise_count(a.words[own, None, :] & b.words[None, other, :]).sum(2, dtype=np.int64)
+            most = np.minimum(a.ones[own, None], b.ones[None, other])
+            chance = FILTER_BITS * (1 - stay**n - stay**m + stay ** (n + m))
+            floor = chance + CUTOFF * (most - chance)
+            score = np.where(most > floor, np.clip((both - floor) / np.maximum(1e-9, most - floor), 0, 1), both == most)
+            best_a[own] = np.maximum(best_a[own], score.max(1))
+            best_b[other] = np.maximum(best_b[other], score.max(0))
+    one = float((best_a * a.counts).sum() / a.counts.sum())
     if len(a.counts) < len(b.counts):
         return one
-    return max(one, float((score.max(0) * b.counts).sum() / b.counts.sum()))
+    return max(one, float((best_b * b.counts).sum() / b.counts.sum()))
 
 
 def fit_rarity(docs: DataFrame) -> np.ndarray:
@@ -226,30 +237,46 @@ def fit_rarity(docs: DataFrame) -> np.ndarray:
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
-    """(bucket, borrowed, doc_id, text): buckets are ranges of doc_id, each in
-    order and followed by the first row of the next bucket (the last by the
-    first of all), which is marked as borrowed."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    place = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    n = min(MAX_BUCKETS, max(1, rows.count() // BUCKET_DOCS))
-    cuts = np.array(sorted(set(rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 1 / (4 * n)))) if n > 1 else [])
+    """(bucket, borrowed, doc_id, text): buckets are ranges of doc_id and the
+    hash of the text, each in order and followed by the first row of the next
+    bucket (the last by the first of all), which is marked as borrowed.
 
-    def own(ids: pd.Series) -> np.ndarray:
-        return np.searchsorted(cuts, ids.to_numpy(np.float64), "right").astype(np.int32)
+    The ranges are cut from a sample of places, so that many rows with one
+    doc_id, or none, are dealt out too.
+    """
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    place, tie = F.coalesce("doc_id", F.lit(-(1 << 63))), F.xxhash64("text")
+    total = rows.count()
+    every = max(1, total // SAMPLE_PLACES)
+    wanted = min(max(1, total // BUCKET_DOCS), max(1, total // every // PER_BUCKET))
+    sample = rows.select(place.alias("p"), tie.alias("t"))
+    sample = sample.where(F.pmod(F.xxhash64("p", "t"), F.lit(every)) == 0).toArrow()  # some SAMPLE_PLACES rows
+    p, t = (sample.column(i).to_numpy() for i in range(2))
+    order = np.lexsort((t, p))
+    cuts = sorted({(int(p[order[i]]), int(t[order[i]])) for i in (np.arange(1, wanted) * len(order) // wanted)}) if len(order) else []
+    cut_p, cut_t = (np.array([c[i] for c in cuts], np.int64) for i in range(2))
+
+    def own(p: np.ndarray, t: np.ndarray) -> np.ndarray:
+        """The number of cuts up to each place."""
+        lo, hi = np.searchsorted(cut_p, p, "left"), np.searchsorted(cut_p, p, "right")
+        for i in np.flatnonzero(lo < hi):
+            lo[i] += np.searchsorted(cut_t[lo[i] : hi[i]], t[i], "right")
+        return lo.astype(np.int32)
 
     @F.pandas_udf("int")
-    def bucket(ids: pd.Series) -> pd.Series:
-        return pd.Series(own(ids))
+    def bucket(p: pd.Series, t: pd.Series) -> pd.Series:
+        return pd.Series(own(p.to_numpy(np.int64), t.to_numpy(np.int64)))
 
-    heads = rows.select(place.alias("place")).groupBy(bucket("place").alias("bucket")).agg(F.min("place").alias("head")).orderBy("bucket").collect()  # MAX_BUCKETS rows
-    to = {r["head"]: heads[i - 1]["bucket"] for i, r in enumerate(heads)}
+    heads = rows.select(place.alias("p"), tie.alias("t")).groupBy(bucket("p", "t").alias("bucket")).agg(F.min(F.struct("p", "t")).alias("head")).orderBy("bucket").collect()  # a row a bucket
+    to = {tuple(r["head"]): heads[i - 1]["bucket"] for i, r in enumerate(heads)}
 
     @F.pandas_udf("array<int>")
-    def buckets(ids: pd.Series) -> pd.Series:
-        return pd.Series([[b, to[i]] if i in to else [b] for i, b in zip(ids.tolist(), own(ids).tolist())])
+    def buckets(p: pd.Series, t: pd.Series) -> pd.Series:
+        p, t = p.to_numpy(np.int64), t.to_numpy(np.int64)
+        return pd.Series([[b, to[x]] if x in to else [b] for b, x in zip(own(p, t).tolist(), zip(p.tolist(), t.tolist()))])
 
-    dealt = rows.select("doc_id", "text", F.posexplode(buckets(place)).alias("k", "bucket")).select("bucket", (F.col("k") > 0).alias("borrowed"), "doc_id", "text")
-    return dealt.repartition(-(-n // 4), "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
+    dealt = rows.select("doc_id", "text", F.posexplode(buckets(place, tie)).alias("k", "bucket")).select("bucket", (F.col("k") > 0).alias("borrowed"), "doc_id", "text")
+    return dealt.repartition(max(1, len(heads)), "bucket").sortWithinPartitions("bucket", "borrowed", "doc_id", F.xxhash64("text"), "text")
 
 
 def fingerprint(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
@@ -261,8 +288,9 @@ def fingerprint(docs: DataFrame, ranks: np.ndarray | None = None) -> DataFrame:
     order of doc_id (after the last, the first); null is the least doc_id, and
     rows with the same one follow each other by their texts. A null text is
     empty; empty texts have the empty fingerprint and a likeness of 1 to each
-    other, 0 to others. Without ranks, they are counted from docs. Repeated
-    rows give repeated rows, an empty table none; other columns aren't read.
+    other, 0 to others. A long text is taken whole, in parts. Without ranks,
+    they are counted from docs. Repeated rows give repeated rows, an empty
+    table none; other columns aren't read.
     """
     ranks = fit_rarity(docs) if ranks is None else ranks
     kinds = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
