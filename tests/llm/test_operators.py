@@ -257,6 +257,78 @@ def test_entropy_levels_by_counting():
         assert levels[i] == (digest._TOP - int(digest._F[counts].sum())) * (digest.LEVELS - 1) // digest._TOP
 
 
+def brute_features(text, ranks):
+    """Every stretch of windows, clipped at the ends of the text, looked at one by one."""
+    raw = text.ljust(64, b"\0") if text else b""
+    n = len(raw) - 63
+    if n <= 0:
+        return []
+    level = [int((digest._TOP - int(digest._F[np.unique(np.frombuffer(raw[i : i + 64], np.uint8), return_counts=True)[1]].sum())) * (digest.LEVELS - 1) // digest._TOP) for i in range(n)]
+    points = [0] * n
+    for a in range(-63, n):
+        points[min(range(max(0, a), min(n, a + 64)), key=lambda i: (ranks[level[i]], i))] += 1
+    return [raw[i : i + 64] for i in range(n) if points[i] >= digest.POPULAR]
+
+
+def brute_likeness(a, b):
+    """Filters as sets of bits, one pair after the other."""
+    if a == b:
+        return 1.0
+    if not a or not b:
+        return 0.0
+    chains = []
+    for hashes in (a, b):
+        chains.append([(len(part), {int(h) >> 11 * k & 2047 for h in part for k in range(5)}) for part in (hashes[i : i + 160] for i in range(0, len(hashes), 160))])
+    a, b = sorted(chains, key=len)
+
+    def score(x, y):
+        n, m, stay = x[0] * 5, y[0] * 5, 1 - 1 / 2048
+        chance, most, both = 2048 * (1 - stay**n - stay**m + stay ** (n + m)), min(len(x[1]), len(y[1])), len(x[1] & y[1])
+        floor = chance + 0.3 * (most - chance)
+        return min(1.0, max(0.0, (both - floor) / (most - floor))) if most > floor else float(both == most)
+
+    def mean(xs, ys):
+        return sum(x[0] * max(score(x, y) for y in ys) for x in xs) / sum(x[0] for x in xs)
+
+    return mean(a, b) if len(a) < len(b) else max(mean(a, b), mean(b, a))
+
+
+def test_features_and_likeness_by_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(digest, "PAIRS", 3)
+    texts = ["", "a", "one two", "x" * 63, "y" * 64, "z" * 300, prose(12), prose(25), prose(40), prose(90), "b" * 500 + prose(20), prose(400)]
+    texts += [texts[9][:300] + texts[8], texts[11][500:] + prose(60)]
+    raw = [t.encode() for t in texts]
+    ranks = digest.rarity(digest.level_counts(raw))
+    hashes = lambda own: [int(h) for h in digest._hash_rows(np.frombuffer(b"".join(own), np.uint8).reshape(-1, 64))] if own else []
+    want = [hashes(brute_features(t, ranks)) for t in raw]
+    assert [[int(h) for h in f] for f in digest.features(raw, ranks)] == want and all(want[1:])
+    filters = [digest.Filters(f) for f in digest.features(raw, ranks)]
+    for i, f in enumerate(filters):
+        for j, g in enumerate(filters):
+            assert digest.likeness(f, g) == pytest.approx(brute_likeness(want[i], want[j]), abs=1e-9)
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in digest.fingerprint(docs_of(spark, rows)).collect()}
+    for i, t in rows:
+        after = texts[(i + 1) % len(texts)]
+        n = len(t) // 4
+        edited = (t[: len(t) - n] + after[:n]).encode()
+        own, other, nxt = (hashes(brute_features(x, ranks)) for x in (t.encode(), edited, after.encode()))
+        assert got[i]["near_edited"] == pytest.approx(brute_likeness(own, other)) and got[i]["near_next"] == pytest.approx(brute_likeness(own, nxt))
+        assert got[i]["fingerprint"] == str(digest.Filters(np.array(own, np.uint64))) and got[i]["edited_fingerprint"] == str(digest.Filters(np.array(other, np.uint64)))
+
+
+def test_neighbours_of_many_rows_without_an_id(spark, monkeypatch):
+    """They are in several buckets, and each row still follows the one before."""
+    monkeypatch.setattr(digest, "BUCKET_DOCS", 5)
+    monkeypatch.setattr(digest, "PER_BUCKET", 1)
+    rows = [(None if i % 3 else i, f"{i % 40} " + prose(3 + i % 5)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = [r["text"] for r in docs.select("text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("p"), F.xxhash64("text").alias("t")).orderBy("p", "t").collect()]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 4] + order[(k + 1) % 90][: len(t) // 4]).encode()).hexdigest() for k, t in enumerate(order))
+    assert sorted(r["edited_sha256"] for r in digest.fingerprint(docs).collect()) == want
+    assert digest._in_order(docs).select("bucket").distinct().count() > 10
+
+
 @pytest.mark.parametrize("part", [100, 777])
 def test_parts_of_a_long_text_give_the_same_features(monkeypatch, part):
     texts = [prose(k).encode() for k in (900, 3, 40, 700)] + [b"", b"x" * 3000]
@@ -346,6 +418,25 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert ann.search(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_products_come_from_common_bits():
+    """Against the product with the signs, and with what the bounds allow."""
+    r = np.random.default_rng(6)
+    for dim in (2, 24, 64, 200):
+        vectors, queries = r.standard_normal((300, dim)), r.standard_normal((20, dim))
+        packed, size, fit = ann.encode(vectors)
+        assert np.allclose(size, np.linalg.norm(vectors, axis=1)) and packed.shape[1] * 64 == ann.rotation(dim).shape[1] >= 4 * dim
+        unit = vectors @ ann.rotation(dim)
+        signs = np.where(unit > 0, 1, -1) / np.sqrt(unit.shape[1])
+        bad = 0
+        for q in queries / np.linalg.norm(queries, axis=1)[:, None]:
+            turned = q @ ann.rotation(dim)
+            got = ann.products(np.ascontiguousarray(packed.T), np.bitwise_count(packed).sum(1, dtype=np.int64), turned)
+            assert np.abs(got - signs @ turned).max() < 4 * (turned.max() - turned.min()) / 63
+            slack = ann.EPSILON * size / fit * np.sqrt((1 - fit**2) / (unit.shape[1] - 1))
+            bad += int((np.abs(got * size / fit - vectors @ q) > slack * 1.05).sum())
+        assert bad <= 20
+
+
 def test_recall_on_the_embeddings(spark, sf):
     table = spark.read.parquet(f"{sf}/embeddings.parquet")
     want = brute_nearest([(r["vec_id"], [float(x) for x in r["embedding"]]) for r in table.collect()], 20)
