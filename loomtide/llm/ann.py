@@ -27,11 +27,11 @@ from loomtide.llm.common import materialize
 #: Standard deviations that the bounds allow for.
 EPSILON = 3.3
 #: Bits of a code, as a multiple of the dimensions and at least; bits of a query's component.
-STRETCH, BITS, LEVELS = 4, 128, 6
+STRETCH, BITS, LEVELS = 4, 128, 4
 #: Vectors in an index block and in a query block, about.
 INDEX_ROWS, QUERY_ROWS = 16384, 8192
 #: Index blocks at least, unless they would have fewer vectors than LEAST_ROWS.
-LEAST_BLOCKS, LEAST_ROWS = 24, 256
+LEAST_BLOCKS, LEAST_ROWS = 12, 256
 SEED = 20240521
 
 
@@ -71,22 +71,16 @@ def products(bits: np.ndarray, ones: np.ndarray, turned: np.ndarray) -> np.ndarr
     rounded, step, low = planes(turned)
     total = np.zeros(bits.shape[1], np.int64)
     for level, words in enumerate(rounded):
-        common = np.zeros(bits.shape[1], np.uint16)
-        for word, own in zip(bits, words):
-            common += np.bitwise_count(word & own)
-        total += common.astype(np.int64) << level
+        total += np.bitwise_count(bits & words[:, None]).sum(0, dtype=np.int64) << level
     n = len(turned)
     whole = sum(int(np.bitwise_count(w).sum()) << level for level, w in enumerate(rounded))
     # The signs are +-1 / sqrt(n): twice the sum over the ones less the sum over all.
     return (2 * (step * total + low * ones) - (step * whole + low * n)) / np.sqrt(n)
 
 
-def exact(query: np.ndarray, columns: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Inner products with some vectors, summed in the order of components."""
-    total = np.zeros(len(at))
-    for d, part in enumerate(columns[:, at]):
-        total += query[d] * part
-    return total
+def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """Inner products with the rows, summed in the order of components."""
+    return np.cumsum((vectors * query).T, axis=0)[-1]
 
 
 def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors: np.ndarray, codes: tuple, k: int, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -96,7 +90,6 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
     unit, length = _unit(queries)
     turned = unit @ rotation(vectors.shape[1])
     n = turned.shape[1]
-    columns = np.ascontiguousarray(vectors.T)
     ratio = size / fit
     slack = epsilon * ratio * np.sqrt(np.maximum(0, 1 - fit * fit) / max(1, n - 1)) + 1e-9 * size
     out: list[tuple] = []
@@ -110,18 +103,19 @@ def search_block(qid: np.ndarray, queries: np.ndarray, vid: np.ndarray, vectors:
             wide = slack + epsilon * ratio * step / np.sqrt(12)
             own = np.searchsorted(vid, qid[i], "left"), np.searchsorted(vid, qid[i], "right")
             guess[own[0] : own[1]] = -np.inf
-            keep = np.arange(len(vid))
+            keep, rough = np.arange(len(vid)), 1e-9 * length[i] * size
             if len(vid) > 4 * k:
                 best = np.argpartition(guess, -4 * k)[-4 * k :]
-                known = np.sort(exact(queries[i], columns, best[guess[best] > -np.inf]))
+                best = best[guess[best] > -np.inf]
+                known = np.sort(vectors[best] @ queries[i] - rough[best])
                 if len(known) >= k:
-                    keep = np.flatnonzero(~(guess + wide < known[-k] / length[i] * (1 - 1e-9)) | (guess >= guess[best].min()))
+                    keep = np.flatnonzero(~((guess + wide) * length[i] + rough < known[-k]) | (guess >= guess[best].min()))
             keep = keep[(keep < own[0]) | (keep >= own[1])]
-            score = exact(queries[i], columns, keep)
             if len(keep) > k:
-                # Ties with the k-th best stay until the ids decide.
-                near = score >= np.partition(score, -k)[-k]
-                keep, score = keep[near], score[near]
+                # Those that rounding could bring among the best stay, and ties until the ids decide.
+                about = vectors[keep] @ queries[i]
+                keep = keep[~(about + rough[keep] < np.partition(about - rough[keep], -k)[-k])]
+            score = exact(queries[i], vectors[keep])
             order = np.lexsort((vid[keep], -score))[:k]
             out.append((np.full(len(order), qid[i]), vid[keep[order]], score[order]))
     return tuple(np.concatenate(x) for x in zip(*out)) if out else (qid[:0], vid[:0], np.zeros(0))

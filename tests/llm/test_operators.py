@@ -431,9 +431,9 @@ def test_products_come_from_common_bits():
         for q in queries / np.linalg.norm(queries, axis=1)[:, None]:
             turned = q @ ann.rotation(dim)
             got = ann.products(np.ascontiguousarray(packed.T), np.bitwise_count(packed).sum(1, dtype=np.int64), turned)
-            assert np.abs(got - signs @ turned).max() < 4 * (turned.max() - turned.min()) / 63
+            assert np.abs(got - signs @ turned).max() < 4 * (turned.max() - turned.min()) / 15
             slack = ann.EPSILON * size / fit * np.sqrt((1 - fit**2) / (unit.shape[1] - 1))
-            bad += int((np.abs(got * size / fit - vectors @ q) > slack * 1.05).sum())
+            bad += int((np.abs(got * size / fit - vectors @ q) > slack * 1.25).sum())
         assert bad <= 20
 
 
