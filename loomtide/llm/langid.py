@@ -125,54 +125,63 @@ def automaton(x: list[int]) -> list[dict[int, int]]:
 class Table:
     """A suffix automaton whose rows of transitions are laid over each other.
 
-    State s goes with class c to next[base[s] + c] if that place is its own.
-    Places are found by trying random bases for all states at once; so the
-    size is a few places a transition, whatever the number of classes.
+    A state is known by its base, 0 for the root; it goes with class c to the
+    state in place base + c, if that place is its own. Each place holds its
+    owner and the state it leads to in one word. Bases are found by trying
+    random free ones for all states at once; so the size is a few places a
+    transition, whatever the number of classes.
     """
 
     def __init__(self, go: list[dict[int, int]], width: int):
-        src = np.repeat(np.arange(len(go), dtype=np.int32), [len(step) for step in go])
-        sym = np.array([c for step in go for c in step], np.int32)
-        to = np.array([t for step in go for t in step.values()], np.int32)
-        degree = np.bincount(src, minlength=len(go))
-        size = max(1024, 3 * len(src))
-        random = np.random.default_rng(1)
-        self.base = np.zeros(len(go), np.int32)
-        self.next, self.own = np.zeros(size + width, np.int32), np.full(size + width, -1, np.int32)
-        while len(src):
-            self.base[np.unique(src)] = random.integers(0, size, len(np.unique(src)))
-            at = self.base[src] + sym
-            order = np.lexsort((src, -degree[src], at))
-            good = self.own[at] < 0
-            good[order[1:]] &= at[order[1:]] != at[order[:-1]]
+        src = np.repeat(np.arange(len(go)), [len(step) for step in go])
+        sym = np.array([c for step in go for c in step], np.int64)
+        to = np.array([t for step in go for t in step.values()], np.int64)
+        degree, random = np.bincount(src, minlength=len(go)), np.random.default_rng(1)
+        size = max(1024, 3 * len(src), 2 * len(go))
+        base, owner = np.zeros(len(go), np.int64), np.full(size + width, -1, np.int64)
+        free, left = np.ones(size, bool), np.arange(len(go))
+        while len(left):
+            base[left] = random.permutation(np.flatnonzero(free))[: len(left)]
+            # The root's base is fixed, and it is laid out first.
+            base[left[left == 0]] = 0
+            at = np.flatnonzero(np.isin(src, left))
+            place = base[src[at]] + sym[at]
+            order = np.lexsort((-degree[src[at]], src[at] > 0, place))
+            good = owner[place] < 0
+            good[order[1:]] &= place[order[1:]] != place[order[:-1]]
             bad = np.zeros(len(go), bool)
-            bad[src[~good]] = True
-            done = ~bad[src]
-            self.next[at[done]], self.own[at[done]] = to[done], src[done]
-            src, sym, to = src[~done], sym[~done], to[~done]
-        self.first, self.unseen = np.zeros(width, np.int32), np.ones(width, np.int32)
+            bad[src[at[~good]]] = True
+            bad[left[(base[left] == 0) & (left > 0)]] = True
+            done = at[~bad[src[at]]]
+            owner[base[src[done]] + sym[done]] = base[src[done]]
+            free[base[left[~bad[left]]]] = False
+            left = left[bad[left]]
+        self.places = np.full(size + width, -1 << 32, np.int64)
+        self.places[base[src] + sym] = base[src] << 32 | base[to]
+        self.first, self.unseen = np.zeros(width, np.int64), np.ones(width, np.int64)
         for c, t in go[0].items():
-            self.first[c], self.unseen[c] = t, 0
+            self.first[c], self.unseen[c] = base[t], 0
 
     def run(self, codes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(phrases that end in each block, state at its end), from its state at the beginning."""
-        count, state = np.zeros(len(sizes), np.int64), begin.astype(np.int32)
+        count, state = np.zeros(len(sizes), np.int64), begin.astype(np.int64)
         lanes = CHUNK // BLOCK
         for lo in range(0, len(sizes), lanes):
             part = np.arange(lo, min(len(sizes), lo + lanes))
             order = part[np.argsort(-sizes[part], kind="stable")]
             steps = int(sizes[order[0]])
             alive = np.searchsorted(-sizes[order], -np.arange(steps), "left")
-            at, s, n = starts[order], state[order], np.zeros(len(order), np.int64)
+            s, n = state[order], np.zeros(len(order), np.int64)
+            rows = codes[np.minimum(starts[order][None, :] + np.arange(steps)[:, None], len(codes) - 1)]
             for t in range(steps):
-                k = alive[t]
-                c, now = codes[at[:k] + t], s[:k]
-                place = self.base[now] + c
-                miss = np.flatnonzero(self.own[place] != now)
+                now, c = s[: alive[t]], rows[t, : alive[t]]
+                found = self.places[now + c]
+                miss = np.flatnonzero(found >> 32 != now)
                 unknown = c[miss]
                 n[miss] += (now[miss] > 0) + self.unseen[unknown]
-                s[:k] = self.next[place]
-                s[miss] = self.first[unknown]
+                found &= 0xFFFFFFFF
+                found[miss] = self.first[unknown]
+                s[: alive[t]] = found
             count[order], state[order] = n, s
         return count, state
 
@@ -191,7 +200,7 @@ class Parser:
         for lang in self.langs:
             x = self.classes[learned[lang]]
             seen = np.unique(x)
-            own = np.zeros(len(known) + 1, np.int32)
+            own = np.zeros(len(known) + 1, np.int64)
             own[seen] = np.arange(1, len(seen) + 1)
             self.own.append(own)
             self.tables.append(Table(automaton(own[x].tolist()), len(seen) + 1))
@@ -210,7 +219,7 @@ class Parser:
         out = np.zeros((len(self.langs), len(ends)))
         for k, (table, own) in enumerate(zip(self.tables, self.own)):
             codes = own[known]
-            guess = np.zeros(len(starts), np.int32)
+            guess = np.zeros(len(starts), np.int64)
             guess[later] = table.run(codes, starts[later] - WARM, np.full(len(later), WARM), guess[later])[1]
             count, state = table.run(codes, starts, sizes, guess)
             while len(wrong := later[guess[later] != state[later - 1]]):

@@ -26,8 +26,8 @@ from loomtide.llm.common import materialize, small_batches
 #: Pieces of one length are ranked in groups of about so many rows, or of one
 #: in RANK_GROUPS of all pieces if that is more.
 RANK_ROWS, RANK_GROUPS = 1000, 2000
-#: Runs of white space, or of anything, that the ranks' matcher has no stack for.
-_RUN = re.compile(r"\s{1000}|\S{20000}")
+#: Runs of white space, or without it, that the ranks' matcher may have no stack for.
+_SPACES, _LONG = re.compile(r"\s{1000}"), 20_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -59,8 +59,11 @@ def _encoder(path: str, ranks: str | None):
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
+    def long_run(text: str) -> bool:
+        return len(text) >= 1000 and bool(_SPACES.search(text)) or len(text) >= _LONG and max(map(len, text.split()), default=0) >= _LONG
+
     def by_ranks(text: str) -> np.ndarray:
-        if any(s in text for s in special) or _RUN.search(text):
+        if any(s in text for s in special) or long_run(text):
             return by_tokenizer(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 

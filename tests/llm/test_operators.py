@@ -157,7 +157,7 @@ def test_languages_of_many_symbols_need_little_memory():
     r = random.Random(8)
     text = "".join(chr(0x4E00 + r.randrange(4000)) for _ in range(15_000))
     table = langid.Parser((("zh", text),)).tables[0]
-    assert table.next.nbytes + table.own.nbytes + table.base.nbytes < 2_000_000
+    assert table.places.nbytes < 2_000_000
 
 
 def test_clashing_columns_change_no_prediction(spark, sf):
