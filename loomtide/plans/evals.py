@@ -228,5 +228,27 @@ def rendered_patterns(spark, sf):
 @query()
 def instrument_levels(spark, sf):
     """RMS of each made-up instrument."""
-    kit = {n: n for n in ("kick", "snare", "hihat", "deep_kick", "low_hihat", "clap")}
+    kit = {n: n for n in ("kick", "snare", "hihat", "deep_kick", "sub_kick", "low_hihat", "clap")}
     return evals.sounds(spark, kit).groupBy("kind").agg(F.count("*").alias("n"), r6(F.sqrt(F.avg(F.col("y") * F.col("y")))).alias("rms"))
+
+
+_LIBRARY = ", ".join(
+    f"('{name}', '{kit}', CAST({bpm} AS DOUBLE), {bars}, {beats}, '{kind}', {[float(x) for x in at]}, CAST({amp} AS DOUBLE))"
+    for name, bpm, bars, beats, *ats, amps, kit in evals.PATTERNS for kind, at, amp in zip(evals.BANDS, ats, amps)
+)
+
+
+@query(f"""
+WITH p AS (SELECT * FROM (VALUES {_LIBRARY}) t(track, kit, bpm, bars, beats, kind, ats, amp)),
+bar AS (SELECT *, unnest(range(bars)) AS bar FROM p), hit AS (SELECT *, unnest(ats) AS beat FROM bar)
+SELECT track, kind, round((bar * beats + CAST(beat AS DOUBLE) - 1) * 60 / bpm, 6) AS t, amp FROM hit
+""")
+def pattern_library(spark, sf):
+    """The hits of all patterns of the library."""
+    return evals.pattern(evals.library(spark)).withColumn("t", r6("t"))
+
+
+@query()
+def pattern_hops(spark, sf):
+    """Level of each hop of the rendered library, with noise 20 dB below; checked against numpy in the tests."""
+    return evals.rendered(spark, noise_db=20.0).select("track", "frame", r6(A.rms(F.col("pcm"))).alias("rms"))

@@ -150,7 +150,7 @@ def test_gru_step_of_zeros_halves_the_state():
 def test_particles_never_leak():
     fold = models.Particles(300)
     out = run(fold, [(0.9,)] * 300)
-    assert all(n == 300 for _, _, n in out)
+    assert all(n == 300 for _, _, n, _ in out)
     r = np.random.default_rng(0)
     moved = fold.hint(np.zeros(300, np.int64), 120.0, r)
     assert len(moved) == 300 and (moved > 0).sum() == 150
@@ -201,7 +201,7 @@ def test_drift_and_baseline(spark, tmp_path):
 
 
 def test_instruments_and_voices():
-    for name in ("kick", "snare", "hihat", "deep_kick", "low_hihat", "clap"):
+    for name in ("kick", "snare", "hihat", "deep_kick", "sub_kick", "low_hihat", "clap"):
         x = evals.instrument(name)
         assert np.abs(x).max() <= 1.2 and np.array_equal(x, evals.instrument(name))
     assert len(evals.voice(0.5)) == len(evals.speech(0.5)) == 24000
@@ -209,6 +209,82 @@ def test_instruments_and_voices():
         evals.instrument("harp")
 
 
+def test_clap_is_four_bursts_of_one_noise():
+    rng, n = np.random.default_rng(55), 1920
+    want = np.zeros(n)
+    for i in range(4):
+        part = evals.limited(rng.standard_normal(144), 200, 2000)
+        want[240 * i : 240 * i + 144] = part / np.abs(part).max() * 0.8**i
+    want *= evals.envelope(n)
+    assert np.allclose(evals.instrument("clap"), want / np.abs(want).max(), atol=1e-6)
+
+
+def test_pattern_library(spark):
+    """Rendered samples against the hits laid one by one, and what is mixed under them."""
+    hits = evals.pattern(evals.library(spark)).collect()
+    kits = {p[0]: evals.KITS[p[-1]] for p in evals.PATTERNS}
+    assert len(kits) == 12
+    for name in ("6/8 compound", "trap 808"):
+        x = evals.render(name)
+        want = np.zeros(len(x))
+        for h in hits:
+            if h["track"] == name:
+                a, y = int(h["t"] * 48000 + 1e-6), h["amp"] * evals.instrument(kits[name][h["kind"]])
+                want[a : a + len(y)] += y[: len(x) - a]
+        # A start may be a sample off where the time falls on one exactly.
+        assert abs(np.abs(x).sum() / np.abs(np.clip(want, -1, 1)).sum() - 1) < 0.01
+    plain, noisy = evals.render("3/4 waltz"), evals.render("3/4 waltz", noise_db=20.0)
+    assert np.sqrt(((noisy - plain) ** 2).mean()) == pytest.approx(0.1 * np.sqrt((plain**2).mean()), rel=0.05)
+    faded = evals.render("3/4 waltz", vocal=0.2, spoken=0.1, gains=[(0.0, 1.0), (2.0, 0.0)])
+    assert not faded[96_001:].any() and np.abs(faded[:4000]).max() > 0.1
+    got = {(r["track"], r["frame"]): r["pcm"] for r in evals.rendered(spark).where("track = '4/4 rock'").collect()}
+    assert np.allclose(np.concatenate([got["4/4 rock", k] for k in range(len(got))]), evals.render("4/4 rock")[: len(got) * 512])
+
+
+def test_octaves_are_halved_one_after_the_other(spark):
+    rng = np.random.default_rng(3)
+    rows = [(t, f, rng.standard_normal(64).tolist()) for t in (1, 2) for f in range(1, 6)]
+    out = frames.octaves(spark.createDataFrame(rows, "track long, frame long, pcm array<double>"), 4).orderBy("track", "frame").collect()
+    for t in (1, 2):
+        halves = [(h := frames.HalfBand(), h.start()) for _ in range(3)]
+        for r in (r for r in out if r["track"] == t):
+            x = r["octave_0"]
+            for k, (h, state) in enumerate(halves):
+                state, (x,) = h.step(state, (x,))
+                halves[k] = (h, state)
+                assert r[f"octave_{k + 1}"] == pytest.approx(x)
+
+
+def test_teeth_and_jumps():
+    rng = np.random.default_rng(4)
+    for n in (1, 7, 100):
+        share = rng.random(30) * (rng.random(30) < 0.7)
+        comb = (0.4 + np.arange(n)) / n
+        upto = np.cumsum(share / share.sum())
+        upto[-1] = 1.0
+        assert models.teeth(share, n, 0.4).tolist() == np.bincount(np.searchsorted(upto, comb), minlength=30).tolist()
+    assert models.teeth(np.zeros(4), 8, 0.5).tolist() == [2, 2, 2, 2]
+    chances = np.array([[0.0, 1.0, 0.0], [0.25, 0.25, 0.5], [1.0, 0.0, 0.0]])
+    jumps = models.Jumps(np.array([2, 6, 11]), np.array([0, 3, 7]), chances)
+    assert jumps(np.array([0, 1, 5, 10, 2, 11]), rng).tolist() == [1, 2, 6, 11, 3, 0]
+    went = np.unique(jumps(np.full(20_000, 6), rng), return_counts=True)
+    assert went[0].tolist() == [0, 3, 7] and np.allclose(went[1] / 20_000, chances[1], atol=0.02)
+
+
+def test_beats_and_downbeats():
+    """A click every 25 frames, each third one a downbeat, is told so after a while."""
+    fold = models.Particles(600, meters=(3, 4))
+    state, told = fold.start(), []
+    for f in range(2000):
+        on, down = f % 25 == 0, f % 75 == 0
+        state, out = fold.step(state, (0.05 if down else 0.95 if on else 0.01, 0.95 if down else 0.02))
+        assert out[2] == 600 and len(state[1]) == 250
+        told.append(out[3])
+    late = [(f, k) for f, k in enumerate(told) if k and f > 500]
+    assert 40 <= len(late) <= 70 and all(min(f % 25, 25 - f % 25) <= 4 for f, _ in late)
+    assert np.mean([min(f % 75, 75 - f % 75) <= 4 for f, k in late if k == 1]) > 0.9 and sum(k == 1 for _, k in late) > 10
+
+
 def test_batch_equals_stream(spark, tmp_path):
     rows = [(t, f, float((f * 7 + t) % 5)) for t in (1, 2) for f in range(1, 21)]
     schema = "track long, frame long, x double"
