@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomtide.operators.folds import Ema
+from loomtide.operators.folds import Emas
 from loomtide.operators.scan import scan
 from loomtide.schema import alpha_for_seconds
 
@@ -19,8 +19,15 @@ def rate(events: DataFrame, window_us: int, keys: list[str] = ("track", "kind"),
 def smoothed(rates: DataFrame, fast: float | None = None, slow: float | None = None, keys: list[str] = ("track", "kind"), order: list[str] = ("us", "event_id")) -> DataFrame:
     """Adds fast and slow averages of raw."""
     a, b = alpha_for_seconds(0.1) if fast is None else fast, alpha_for_seconds(2.0) if slow is None else slow
-    once = scan(rates, Ema(a), ["raw"], list(keys), list(order), keep=rates.columns).withColumnRenamed("y", "fast")
-    return scan(once, Ema(b), ["raw"], list(keys), list(order), keep=once.columns).withColumnRenamed("y", "slow")
+    return scan(rates, Emas(fast=a, slow=b), ["raw"], list(keys), list(order), keep=rates.columns)
+
+
+def total(rates: DataFrame, bands: list[str], density: str = "slow", keys: list[str] = ("track",), order: list[str] = ("us", "event_id")) -> DataFrame:
+    """Adds total: the sum over the bands (values of kind) of each one's density
+    as last known, 0 before it has one."""
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    parts = [F.coalesce(F.last(F.when(F.col("kind") == b, F.col(density)), ignorenulls=True).over(w), F.lit(0.0)) for b in bands]
+    return rates.withColumn("total", sum(parts[1:], parts[0]))
 
 
 def delta(rates: DataFrame, window_us: int, keys: list[str] = ("track", "kind")) -> DataFrame:

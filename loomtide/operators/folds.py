@@ -28,6 +28,22 @@ class Ema(Fold):
         return y, (y,)
 
 
+class Emas(Fold):
+    """Several averages of one value, from 0 each, side by side in one fold."""
+
+    def __init__(self, **alphas: float):
+        self.alphas = tuple(alphas.values())
+        self.out = ", ".join(f"{name} double" for name in alphas)
+
+    def start(self):
+        return (0.0,) * len(self.alphas)
+
+    def step(self, state, row):
+        if row[0] is not None:
+            state = tuple(a * y + (1 - a) * row[0] for a, y in zip(self.alphas, state))
+        return state, state
+
+
 class Envelope(Fold):
     """An average that rises with one factor and falls with another."""
 

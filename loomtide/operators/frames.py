@@ -139,12 +139,29 @@ class HalfBand(Fold):
         return tuple(after), ([(a + b) / 2 for a, b in zip(*paths)],)
 
 
+class Octaves(Fold):
+    """A hop of samples -> the same at half the rate, a quarter, and so on: all stages in one fold."""
+
+    def __init__(self, stages: int):
+        self.halves = [HalfBand() for _ in range(1, stages)]
+        self.out = ", ".join(f"octave_{k} array<double>" for k in range(1, stages))
+
+    def start(self):
+        return tuple(h.start() for h in self.halves)
+
+    def step(self, state, row):
+        after, out, x = [], [], row[0]
+        for half, own in zip(self.halves, state):
+            own, (x,) = half.step(own, (x,))
+            after.append(own)
+            out.append(x)
+        return tuple(after), tuple(out)
+
+
 def octaves(hops_: DataFrame, stages: int = 9) -> DataFrame:
-    """Adds octave_0 (pcm) to octave_{stages-1}, each at half the rate before."""
+    """Adds octave_0 (pcm) to octave_{stages-1}, each at half the rate before; one shuffle for all."""
     out = hops_.withColumnRenamed("pcm", "octave_0")
-    for k in range(1, stages):
-        out = scan(out, HalfBand(), [f"octave_{k - 1}"], keep=out.columns).withColumnRenamed("half", f"octave_{k}")
-    return out
+    return scan(out, Octaves(stages), ["octave_0"], keep=out.columns) if stages > 1 else out
 
 
 def compress(samples: DataFrame, ratio: float = 4.0, threshold_db: float = -12.0, attack_ms: float = 5.0, release_ms: float = 50.0, block: int = 64, rate: float = SAMPLE_RATE) -> DataFrame:

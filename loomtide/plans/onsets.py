@@ -135,15 +135,22 @@ def density_trend(spark, sf):
 
 
 @query(f"""
-WITH {SIGNAL}, k AS (SELECT track, frame, kind, count(*) OVER (PARTITION BY track, kind ORDER BY frame) AS n FROM signal),
-l AS (SELECT s.track, s.frame, b.kind, max(k.n) AS n FROM signal s CROSS JOIN (SELECT unnest(['low', 'mid', 'high']) AS kind) b LEFT JOIN k ON k.track = s.track AND k.kind = b.kind AND k.frame <= s.frame GROUP BY ALL)
-SELECT track, frame, CAST(sum(coalesce(n, 0)) AS BIGINT) AS total FROM l GROUP BY ALL
+WITH RECURSIVE {SIGNAL}, d AS (
+  SELECT event_id, track, kind, ts, count(*) OVER (PARTITION BY track, kind ORDER BY ts RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) / 7.0 AS raw,
+    row_number() OVER (PARTITION BY track, kind ORDER BY ts, event_id) AS n FROM signal
+), e AS (
+  SELECT event_id, track, kind, ts, n, 0.05 * raw AS slow FROM d WHERE n = 1
+  UNION ALL SELECT d.event_id, d.track, d.kind, d.ts, d.n, 0.95 * slow + 0.05 * d.raw FROM e JOIN d ON d.track = e.track AND d.kind = e.kind AND d.n = e.n + 1
+)
+SELECT event_id, track, round(coalesce(last_value(CASE WHEN kind = 'low' THEN slow END IGNORE NULLS) OVER w, 0) + coalesce(last_value(CASE WHEN kind = 'mid' THEN slow END IGNORE NULLS) OVER w, 0)
+  + coalesce(last_value(CASE WHEN kind = 'high' THEN slow END IGNORE NULLS) OVER w, 0), 6) AS total
+FROM e WINDOW w AS (PARTITION BY track ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 """)
 def density_total(spark, sf):
-    """Sum over bands of each band's count so far."""
-    w = by_frame().rowsBetween(Window.unboundedPreceding, 0)
-    parts = [F.sum((F.col("kind") == k).cast("long")).over(w) for k in ("low", "mid", "high")]
-    return signal(spark, sf).select("track", "frame", (parts[0] + parts[1] + parts[2]).alias("total"))
+    """Sum over bands of each band's smoothed density."""
+    rates = density.rate(signal(spark, sf), 7 * DAY, seconds=7.0)
+    out = density.total(density.smoothed(rates, 0.8, 0.95), ["low", "mid", "high"])
+    return out.select("event_id", "track", r6("total").alias("total"))
 
 
 _RATE = f"""{SIGNAL}, kept AS (SELECT *, ts / 3600 AS h FROM signal WHERE kind IN ('low', 'mid')), i AS (
