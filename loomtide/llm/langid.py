@@ -22,14 +22,15 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomtide.llm.common import small_batches
 
-#: Defaults of the labelled sample: so many documents a language, so many letters
-#: of each, and the pieces, spread over the whole of a longer text, they come in.
-SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 80, 250, 5
+#: Defaults of the labelled sample: so many documents a language, each whole up to
+#: so many letters, and the pieces, spread over the whole of a longer text, in which
+#: as many letters of it come.
+SAMPLE_DOCS, SAMPLE_CHARS, PIECES = 80, 10_000, 5
 #: Symbols in a block, before a block, and in what is parsed at once.
 BLOCK, WARM, CHUNK = 256, 48, 1 << 19
 UNKNOWN = "und"
@@ -127,37 +128,41 @@ class Table:
 
     A state is known by its base, 0 for the root; it goes with class c to the
     state in place base + c, if that place is its own. Each place holds its
-    owner and the state it leads to in one word. Bases are found by trying
-    random free ones for all states at once; so the size is a few places a
-    transition, whatever the number of classes.
+    owner and the state it leads to in one word. Random free bases are tried
+    for many states at once, those with the most transitions while there is
+    most room; so the size is about two places a transition, whatever the
+    number of classes.
     """
 
     def __init__(self, go: list[dict[int, int]], width: int):
-        src = np.repeat(np.arange(len(go)), [len(step) for step in go])
+        degree = np.array([len(step) for step in go])
+        begin = np.cumsum(degree) - degree
         sym = np.array([c for step in go for c in step], np.int64)
         to = np.array([t for step in go for t in step.values()], np.int64)
-        degree, random = np.bincount(src, minlength=len(go)), np.random.default_rng(1)
-        size = max(1024, 3 * len(src), 2 * len(go))
-        base, owner = np.zeros(len(go), np.int64), np.full(size + width, -1, np.int64)
-        free, left = np.ones(size, bool), np.arange(len(go))
-        while len(left):
-            base[left] = random.permutation(np.flatnonzero(free))[: len(left)]
-            # The root's base is fixed, and it is laid out first.
-            base[left[left == 0]] = 0
-            at = np.flatnonzero(np.isin(src, left))
-            place = base[src[at]] + sym[at]
-            order = np.lexsort((-degree[src[at]], src[at] > 0, place))
-            good = owner[place] < 0
-            good[order[1:]] &= place[order[1:]] != place[order[:-1]]
-            bad = np.zeros(len(go), bool)
-            bad[src[at[~good]]] = True
-            bad[left[(base[left] == 0) & (left > 0)]] = True
-            done = at[~bad[src[at]]]
-            owner[base[src[done]] + sym[done]] = base[src[done]]
-            free[base[left[~bad[left]]]] = False
-            left = left[bad[left]]
+        random, size = np.random.default_rng(1), max(1024, 2 * len(sym), 2 * len(go))
+        base, taken, owner = np.zeros(len(go), np.int64), np.zeros(size, bool), np.full(size + width, -1, np.int64)
+        taken[0], owner[sym[: degree[0]]] = True, 0
+        level = np.frexp(degree)[1]
+        level[0] = -1
+        for k in range(level.max(), -1, -1):
+            left = np.flatnonzero(level == k)
+            while len(left):
+                tried = random.integers(1, size, len(left))
+                who = np.repeat(np.arange(len(left)), degree[left])
+                edge = np.arange(len(who)) + np.repeat(begin[left] - np.cumsum(degree[left]) + degree[left], degree[left])
+                place = tried[who] + sym[edge]
+                bad = taken[tried]
+                bad[np.setdiff1d(np.arange(len(left)), np.unique(tried, return_index=True)[1])] = True
+                bad[who[owner[place] >= 0]] = True
+                order = np.argsort(place, kind="stable")
+                bad[who[order[1:][place[order[1:]] == place[order[:-1]]]]] = True
+                good = ~bad[who]
+                owner[place[good]] = tried[who[good]]
+                base[left[~bad]], taken[tried[~bad]] = tried[~bad], True
+                left = left[bad]
+        src = np.repeat(base, degree)
         self.places = np.full(size + width, -1 << 32, np.int64)
-        self.places[base[src] + sym] = base[src] << 32 | base[to]
+        self.places[src + sym] = src << 32 | base[to]
         self.first, self.unseen = np.zeros(width, np.int64), np.ones(width, np.int64)
         for c, t in go[0].items():
             self.first[c], self.unseen[c] = base[t], 0
@@ -255,19 +260,17 @@ class Parser:
             yield self.langs[k], float(1 - total[k, j] / rest.min()) if len(rest) and rest.min() > 0 else 1.0
 
 
-@lru_cache(maxsize=1)
-def _parser(texts: tuple[tuple[str, str], ...]) -> Parser:
-    return Parser(texts)
-
+def predictor(spark: SparkSession, learned: dict[str, str]):
+    """A function for mapInArrow of batches whose column 1 is the text.
 
-def predictor(learned: dict[str, str]):
-    """A function for mapInArrow of batches whose column 1 is the text."""
-    key = tuple(sorted(learned.items()))
+    The automata are made once, on the driver, and broadcast: some 50 bytes
+    for each letter of the sample, which the sample's bounds limit.
+    """
+    parser = spark.sparkContext.broadcast(Parser(tuple(sorted(learned.items()))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = _parser(key)
         for b in batches:
-            langs, scores = parser.predict(b.column(1).to_pylist())
+            langs, scores = parser.value.predict(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     return run
@@ -277,15 +280,15 @@ def identify(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int
     """documents -> doc_id, held_out, lang_pred, score.
 
     Learned from the text and lang of rows that aren't held out, in a sample
-    of sample_docs documents a language, of each all letters or, of more than
-    sample_chars, as many in PIECES pieces spread over the whole text;
+    of sample_docs documents a language, each whole or, if it has more than
+    sample_chars letters, as many in PIECES pieces spread over all of it;
     predicted from the text alone, all of it, however long. A null text or one
     without a letter is `und` with score 0, as is any if nothing could be
     learned. The score is 1 - best / second-best entropy. Ties go to the
     language that sorts first; repeated rows give repeated rows, an empty
     table none; other columns are not read.
     """
-    run = predictor(sample(docs, sample_docs, sample_chars))
+    run = predictor(docs.sparkSession, sample(docs, sample_docs, sample_chars))
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in run(batches):
@@ -305,7 +308,7 @@ def label(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, sample_chars: int = S
     """
     names = docs.columns
     at = {c: i for i, c in enumerate(names)}
-    run = predictor(sample(docs, sample_docs, sample_chars))
+    run = predictor(docs.sparkSession, sample(docs, sample_docs, sample_chars))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
