@@ -263,7 +263,7 @@ class Parser:
 def predictor(spark: SparkSession, learned: dict[str, str]):
     """A function for mapInArrow of batches whose column 1 is the text.
 
-    The automata are made once, on the driver, and broadcast: some 50 bytes
+    The automata are made once, on the driver, and broadcast: about 35 bytes
     for each letter of the sample, which the sample's bounds limit.
     """
     parser = spark.sparkContext.broadcast(Parser(tuple(sorted(learned.items()))))
