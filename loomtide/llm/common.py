@@ -46,14 +46,15 @@ def materialize(df: DataFrame, name: str, slim: bool = False) -> DataFrame:
     """Writes df once into the shared folder and reads it back.
 
     This cuts the lineage in a way that outlives executors, and unlike an
-    eager checkpoint it computes the rows a single time. A slim table, of a
-    few numbers a row and little work, is written by twice as many tasks as
-    the cluster has cores, so that it has no crowd of tiny files.
+    eager checkpoint it computes the rows a single time. The rows of a slim
+    table, of a few numbers each, are dealt out anew into files of an even
+    size, so that there is no crowd of tiny ones; the job that makes them
+    keeps all its tasks, however few rows come out of it.
     """
     spark = df.sparkSession
     path = shared_path(spark, name)
     if slim:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
+        df = df.hint("rebalance")
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._loomtide_path = path
