@@ -19,9 +19,10 @@ from loomtide.llm.common import materialize
 LEVELS, AT_ONCE = 48, 6
 #: Sources up to so many are broadcast; more are joined over SALTS parts each.
 BROADCAST_SOURCES, SALTS = 20_000, 64
-#: The permutation's hash falls into 16^3 cells; only the cell in which a
-#: source's budget ends is put in order.
-CELL_DIGITS = 3
+#: The permutation's hash falls into 16^3 cells, the one in which a source's
+#: budget ends into 16^3 again, and so on until a cell has about CELL_ROWS rows
+#: of the largest source; only the last such cell is put in order.
+CELL_DIGITS, CELL_ROWS = 3, 16_384
 
 
 def n_tokens(text: Column) -> Column:
@@ -102,6 +103,22 @@ def budgets(sizes: DataFrame, target_entropy: float | None = None, max_repeat: f
     return out.withColumn("full", full).withColumn("rest", F.when(F.col("tokens") > 0, F.col("budget") - F.col("full") * F.col("tokens")).otherwise(F.lit(0)).cast("long"))
 
 
+def _edge(rows: DataFrame, level: int) -> DataFrame:
+    """(__key, __cell, __left): the first part of a source's cell that doesn't
+    fit what is left as a whole, and what is left for it.
+
+    rows have the cell found so far, of level * CELL_DIGITS digits, and its rest.
+    """
+    inside = rows.where(F.substring("__last", 1, CELL_DIGITS * level) == F.col("__cell"))
+    parts = inside.groupBy("__key", F.substring("__last", 1, CELL_DIGITS * (level + 1)).alias("cell")).agg(F.sum("n_tokens").alias("n"), F.first("__left").alias("left"))
+    upto = F.sum("n").over(Window.partitionBy("__key").orderBy("cell"))
+    return (
+        parts.withColumn("upto", upto).where(F.col("upto") > F.col("left"))
+        .groupBy("__key").agg(F.min(F.struct("cell", (F.col("left") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
+        .select("__key", F.col("e.cell").alias("__cell"), F.col("e.left").alias("__left"))
+    )
+
+
 def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float | None = None, budget: int | None = None, seed: int = 0) -> DataFrame:
     """documents -> their rows as often as drawn, with block, n_tokens, order_key.
 
@@ -127,19 +144,18 @@ def mix(docs: DataFrame, target_entropy: float | None = None, max_repeat: float
         return rows.withColumn("__salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["__key", "__salt"]).drop("__salt")
 
     last_key = _order(seed, F.col("__full"), F.col("doc_id"))
-    cells = joined(slim, plan).groupBy("__key", F.substring(last_key, 1, CELL_DIGITS).alias("cell")).agg(F.sum("n_tokens").alias("n"), F.first("__rest").alias("rest"))
-    upto = F.sum("n").over(Window.partitionBy("__key").orderBy("cell"))
-    # The first cell that doesn't fit as a whole, and what is left for it.
-    edge = (
-        cells.withColumn("upto", upto).where(F.col("upto") > F.col("rest"))
-        .groupBy("__key").agg(F.min(F.struct("cell", (F.col("rest") - F.col("upto") + F.col("n")).alias("left"))).alias("e"))
-        .select("__key", F.col("e.cell").alias("__cell"), F.col("e.left").alias("__left"))
-    )
-    sources = materialize(plan.join(edge, "__key", "left"), "edges", slim=True)
+    levels, most = 1, sizes.agg(F.max("n")).first()[0] or 0
+    while most > CELL_ROWS << 4 * CELL_DIGITS * levels:
+        levels += 1
+    edge = plan.where("__rest > 0").select("*", F.lit("").alias("__cell"), F.col("__rest").alias("__left"))
+    for level in range(levels):
+        found = _edge(joined(slim, edge).withColumn("__last", last_key), level)
+        edge = plan.join(materialize(found, "cells", slim=True), "__key")
+    sources = materialize(plan.join(edge.select("__key", "__cell", "__left"), "__key", "left"), "edges", slim=True)
 
     kept = [c for c in docs.columns if c not in ("block", "n_tokens", "order_key")]
     rows = joined(docs.select(*kept, _key(F.col("source")).alias("__key"), n_tokens(F.col("text")).alias("n_tokens")), sources).withColumn("__last", last_key)
-    cell = F.substring("__last", 1, CELL_DIGITS)
+    cell = F.substring("__last", 1, CELL_DIGITS * levels)
     on_edge = F.coalesce((cell == F.col("__cell")) & (F.col("__rest") > 0), F.lit(False))
     clear = rows.where(~on_edge).withColumn("__in", (F.col("__rest") > 0) & (F.col("__cell").isNull() | (cell < F.col("__cell"))))
     run = F.sum("n_tokens").over(Window.partitionBy("__key").orderBy("__last", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0))

@@ -466,6 +466,21 @@ def test_mixing(spark):
         mixing.mix(full)
 
 
+def test_cells_are_parted_until_they_are_small(spark, monkeypatch):
+    rows = [(k, prose(5 + k % 7)) for k in range(300)] + [(7, prose(9))] * 3 + ODD
+    docs = docs_of(spark, rows).withColumn("source", F.when(F.col("doc_id") % 10 == 0, "small").when(F.col("doc_id") % 10 == 1, None).otherwise("large"))
+
+    def drawn():
+        return sorted(map(repr, mixing.mix(docs, max_repeat=2.5).select("doc_id", "source", "block", "n_tokens", "order_key").collect()))
+
+    whole = drawn()
+    monkeypatch.setattr(mixing, "CELL_DIGITS", 1)
+    monkeypatch.setattr(mixing, "CELL_ROWS", 1)
+    assert drawn() == whole
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert drawn() == whole
+
+
 def test_exponent_is_bisected(spark):
     shares = spark.createDataFrame([(0.7,), (0.2,), (0.1,)], "p double")
     a = mixing.exponent(shares, max_repeat=3.5)
